@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.llm import near_duplicates as nd
+from siltstone.llm import shared_spans as ss
 from siltstone.sources.tables import table
 
 QUERIES: dict = {}
@@ -44,3 +45,15 @@ def p5_groups(spark, base):
         .join(links, "cls", "left")
         .select("id", F.col("cls").alias("class_id"), F.col("component").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
     )
+
+
+# 3. Long exact spans shared between records
+
+@query("p3_found")
+def p3_found(spark, base):
+    return ss.shared_windows(table(spark, base, "symbols"), "id", "code", "path").select("id")
+
+
+@query("p3_spans")
+def p3_spans(spark, base):
+    return ss.shared_spans(table(spark, base, "symbols"), "id", "code", "path")
