@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.llm import documented_functions as df_
 from siltstone.llm import near_duplicates as nd
 from siltstone.llm import shared_spans as ss
 from siltstone.sources.tables import table
@@ -57,3 +58,15 @@ def p3_found(spark, base):
 @query("p3_spans")
 def p3_spans(spark, base):
     return ss.shared_spans(table(spark, base, "symbols"), "id", "code", "path")
+
+
+# 2. Functions paired with their documentation
+
+@query("p2_found")
+def p2_found(spark, base):
+    return df_.documented_functions(table(spark, base, "symbols")).select("id")
+
+
+@query("p2_pairs")
+def p2_pairs(spark, base):
+    return df_.documented_functions(table(spark, base, "symbols"))
