@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.llm import credentials as cr
 from siltstone.llm import documented_functions as df_
 from siltstone.llm import near_duplicates as nd
 from siltstone.llm import shared_spans as ss
@@ -70,3 +71,15 @@ def p2_found(spark, base):
 @query("p2_pairs")
 def p2_pairs(spark, base):
     return df_.documented_functions(table(spark, base, "symbols"))
+
+
+# 6. Credentials embedded in source code
+
+@query("p6_found")
+def p6_found(spark, base):
+    return cr.credentials(table(spark, base, "symbols")).select("id")
+
+
+@query("p6_redacted")
+def p6_redacted(spark, base):
+    return cr.credentials(table(spark, base, "symbols"))
