@@ -8,6 +8,7 @@ from siltstone.llm import credentials as cr
 from siltstone.llm import documented_functions as df_
 from siltstone.llm import near_duplicates as nd
 from siltstone.llm import shared_spans as ss
+from siltstone.llm import source_origin as so
 from siltstone.sources.tables import table
 
 QUERIES: dict = {}
@@ -83,3 +84,19 @@ def p6_found(spark, base):
 @query("p6_redacted")
 def p6_redacted(spark, base):
     return cr.credentials(table(spark, base, "symbols"))
+
+
+# 1. Generated, minified or vendored source files
+
+def _origins(spark, base):
+    return so.source_origins(*[table(spark, base, t) for t in ("files", "file_contents", "library_files")])
+
+
+@query("p1_found")
+def p1_found(spark, base):
+    return _origins(spark, base).where("origin is not null").select("file_id")
+
+
+@query("p1_origins")
+def p1_origins(spark, base):
+    return _origins(spark, base)
