@@ -9,6 +9,7 @@ from siltstone.llm import documented_functions as df_
 from siltstone.llm import near_duplicates as nd
 from siltstone.llm import shared_spans as ss
 from siltstone.llm import source_origin as so
+from siltstone.llm import syntax as sx
 from siltstone.sources.tables import table
 
 QUERIES: dict = {}
@@ -100,3 +101,19 @@ def p1_found(spark, base):
 @query("p1_origins")
 def p1_origins(spark, base):
     return _origins(spark, base)
+
+
+# 4. Source files that do not parse
+
+def _checked(spark, base):
+    return sx.syntax_errors(table(spark, base, "files"), table(spark, base, "file_contents"))
+
+
+@query("p4_found")
+def p4_found(spark, base):
+    return _checked(spark, base).where("invalid").select("file_id")
+
+
+@query("p4_rates")
+def p4_rates(spark, base):
+    return sx.syntax_rates(_checked(spark, base))
