@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import credentials as cr
 from siltstone.llm import documented_functions as df_
+from siltstone.llm import languages as lg
+from siltstone.llm import mixing as mx
 from siltstone.llm import near_duplicates as nd
+from siltstone.llm import packing as pk
 from siltstone.llm import shared_spans as ss
 from siltstone.llm import source_origin as so
 from siltstone.llm import syntax as sx
@@ -117,3 +120,47 @@ def p4_found(spark, base):
 @query("p4_rates")
 def p4_rates(spark, base):
     return sx.syntax_rates(_checked(spark, base))
+
+
+# 10. Missing or wrong document language labels
+
+def _identified(spark, base):
+    return lg.identify(table(spark, base, "documents"), table(spark, base, "lang_codes"))
+
+
+@query("p10_found")
+def p10_found(spark, base):
+    return lg.repaired_labels(_identified(spark, base))
+
+
+@query("p10_languages")
+def p10_languages(spark, base):
+    return _identified(spark, base)
+
+
+# 8. Filling fixed-capacity containers with items
+
+def _packed(spark, base):
+    return pk.pack(table(spark, base, "documents"), table(spark, base, "pack_sizes"))
+
+
+@query("p8_packing")
+def p8_packing(spark, base):
+    return _packed(spark, base)
+
+
+@query("p8_report")
+def p8_report(spark, base):
+    return pk.packing_report(_packed(spark, base), table(spark, base, "pack_sizes"))
+
+
+# 9. Mixing sources to target weights
+
+@query("p9_mix")
+def p9_mix(spark, base):
+    return mx.mix(table(spark, base, "documents"), table(spark, base, "mix_targets"))[0]
+
+
+@query("p9_shares")
+def p9_shares(spark, base):
+    return mx.mix(table(spark, base, "documents"), table(spark, base, "mix_targets"))[1]
