@@ -3,7 +3,9 @@
 The mix is as large as the scarcest source allows: total = the least of
 (tokens x allowed repeats / share). A source's demand is its share of that. It
 is met by whole passes over the source and a last, partial pass in the order of
-a hash, so no document is used more than one time oftener than another.
+a hash, so no document is used more than one time oftener than another. The
+gap that remains, smaller than one document, is closed by up to `FILLERS`
+documents the last pass did not reach.
 
 Training positions follow a time-varying curriculum. The weight of a source at
 time t in [0, 1] is share * (1 + a * (2t - 1)), with slopes a that balance, so
@@ -27,6 +29,8 @@ from siltstone.llm.tokens import TOKENIZER, token_counts
 from siltstone.session import Stage
 
 BUCKET = 2000
+#: Documents per source that may close the gap the last pass leaves.
+FILLERS = 5
 TILT = 0.5
 
 
@@ -80,8 +84,31 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, tilt: f
     sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0))).drop("in_bucket")
     inside = W.partitionBy("source", "pass", "bucket").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     use = use.withColumn("earlier", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, ["source", "pass", "bucket"])
-    middle = F.col("pass") * F.col("available") + F.col("before") + F.col("earlier") + F.col("n_tokens") / 2
-    use = use.withColumn("middle", middle).where(F.col("middle") <= F.col("demand"))
+    start = F.col("pass") * F.col("available") + F.col("before") + F.col("earlier")
+    use = use.withColumn("middle", start + F.col("n_tokens") / 2).select(
+        "doc_id", "source", "pass", "n_tokens", "middle", "demand", "slope", (start + F.col("n_tokens") <= F.col("demand")).alias("taken")
+    )
+    use = stage.write(use, "uses")
+    taken = use.where("taken")
+    # what the last pass leaves open is closed by ever smaller documents it did not reach
+    rest = use.where(~F.col("taken"))
+    sums = {r.source: r.n for r in taken.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    missing = {p[0]: p[2] - sums.get(p[0], 0) for p in plans}
+    fillers: list[tuple] = []
+    for _ in range(FILLERS if plans else 0):
+        gaps = spark.createDataFrame(list(missing.items()), "source string, gap double")
+        pick = (
+            rest.join(F.broadcast(gaps), "source").where(F.col("n_tokens") <= F.col("gap"))
+            .join(F.broadcast(spark.createDataFrame([f[:3] for f in fillers], "source string, doc_id long, pass int")), ["source", "doc_id", "pass"], "left_anti")
+            .groupBy("source").agg(F.max(F.struct("n_tokens", "doc_id", "pass")).alias("x")).collect()
+        )
+        if not pick:
+            break
+        for r in pick:  # at most one row per target
+            fillers.append((r.source, r.x.doc_id, r.x["pass"]))
+            missing[r.source] -= r.x.n_tokens
+    added = rest.join(F.broadcast(spark.createDataFrame(fillers, "source string, doc_id long, pass int")), ["source", "doc_id", "pass"])
+    use = taken.unionByName(added.withColumn("middle", F.col("demand") - F.col("n_tokens") / 2).select(taken.columns))
     # middle / demand = t + a (t*t - t)  ->  t
     y, a = F.col("middle") / F.col("demand"), F.col("slope")
     root = (-(1 - a) + F.sqrt(F.greatest((1 - a) * (1 - a) + 4 * a * y, F.lit(0.0)))) / (2 * a)
@@ -90,6 +117,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, tilt: f
     )
     chosen = stage.write(chosen, "chosen")
     stage.drop("sized")
+    stage.drop("uses")
     got = chosen.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("pass").alias("p"))
     whole = chosen.agg(F.sum("n_tokens").alias("whole"))
     base = spark.createDataFrame(
