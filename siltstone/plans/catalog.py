@@ -1,4 +1,8 @@
 """All registered core queries; importing this module fills the registry."""
 
-from siltstone.plans import hierarchy_queries  # noqa: F401
+from siltstone.plans import (  # noqa: F401
+    hierarchy_queries,
+    ingest_queries,
+    search_queries,
+)
 from siltstone.plans.registry import QUERIES, SQL  # noqa: F401
