@@ -89,13 +89,17 @@ def class_methods(symbols: DataFrame) -> DataFrame:
     )
 
 
+def _starts(pattern: str):
+    return lambda m: F.rlike(m, F.lit(pattern))
+
+
 def design_pattern(name: Column, methods: Column) -> tuple[Column, Column]:
     """(label, confidence) of the first rule that a class meets, else nulls."""
     label = conf = None
     for ending, what, sure, method in PATTERNS:
         test = F.rlike(name, F.lit(ending))
         if method:
-            test = test & F.exists(methods, lambda m, r=method: F.rlike(m, F.lit(r)))
+            test = test & F.exists(methods, _starts(method))
         label = F.when(test, what) if label is None else label.when(test, what)
         conf = F.when(test, sure) if conf is None else conf.when(test, sure)
     return label, conf

@@ -1,6 +1,8 @@
 """All registered core queries; importing this module fills the registry."""
 
 from siltstone.plans import (  # noqa: F401
+    analytics_queries,
+    graph_queries,
     hierarchy_queries,
     ingest_queries,
     search_queries,
