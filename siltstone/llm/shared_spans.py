@@ -163,8 +163,8 @@ def _settle_partition(positions: bool):
 def _shared(df: DataFrame, width: int, cover: bool, entries: float, positions: bool) -> DataFrame:
     parts = partitions_for(df.sparkSession, entries, _ENTRIES_PER_PARTITION)
     sent = df.select("doc", "text").mapInArrow(_emit(width, cover, parts), "part int, keys binary, docs binary, at binary")
-    # settled entries need no company: spread them over the partitions
-    where = F.when(F.col("part") < 0, F.floor(F.rand(7) * parts).cast("int")).otherwise(F.col("part"))
+    # settled entries need no company: spread them over the partitions, the same way on a retry
+    where = F.when(F.col("part") < 0, F.pmod(F.xxhash64("docs"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
     return sent.repartitionById(parts, where).mapInArrow(
         _settle_partition(positions), "doc long, at binary" if positions else "doc long"
     )
