@@ -250,8 +250,10 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def name_dictionary(df: DataFrame, size: int = DICTIONARY_SIZE) -> set[str]:
-    """The most frequent words of names and signatures, at most `size`."""
-    text = F.concat_ws(" ", "name", "signature")
+    """The most frequent words of names and signatures, at most `size`. String
+    literals are cut out first: a secret that many rows repeat is no word."""
+    bare = F.regexp_replace("signature", r"""\"[^\"]*\"|'[^']*'|`[^`]*`""", " ")
+    text = F.concat_ws(" ", "name", bare)
     parts = F.split(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), "[^A-Za-z]+")
     words = (
         df.select(F.explode(parts).alias("w")).select(F.lower("w").alias("w")).where(F.length("w").between(3, 16))

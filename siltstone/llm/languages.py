@@ -28,6 +28,7 @@ BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 FIT_ROWS = 20_000
 SMOOTHING = 0.5
+DOC_CHARS = 2000
 #: A paragraph of another language needs so many letters, and this lead in nats.
 LEAST_LETTERS = 14
 LEAST_LEAD = 8.0
@@ -123,18 +124,20 @@ def _counts(languages: list[str], logp):
     def run(batches):
         total = np.zeros((len(languages), BUCKETS), dtype=np.float32)
         for batch in batches:
-            texts, owner = [], []
+            texts, owner, weight = [], [], []
             for code, text in zip(batch.column("label_code").to_pylist(), batch.column("text").to_pylist()):
                 got = paragraphs(text)
                 texts += got
                 owner += [languages.index(code)] * len(got)
+                # a very long document counts like one of DOC_CHARS characters
+                weight += [min(1.0, DOC_CHARS / max(sum(map(len, got)), 1))] * len(got)
             if not texts:
                 continue
             owner = np.asarray(owner)
             if model is not None:
                 owner = scores(texts, model.value).argmax(axis=1)
             which, bucket = gram_buckets(texts)
-            np.add.at(total.reshape(-1), owner[which] * BUCKETS + bucket, 1)
+            np.add.at(total.reshape(-1), owner[which] * BUCKETS + bucket, np.asarray(weight, dtype=np.float32)[which])
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(languages)), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["lang", "counts"]
         )

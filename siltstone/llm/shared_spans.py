@@ -93,7 +93,7 @@ def _emit(width: int, cover: bool, parts: int):
             send[last] = True
         done = (np.full(1, -1), [np.flatnonzero(two)]) if two.any() else (np.zeros(0, int), [])
         at = np.flatnonzero(send)
-        part = ((key[at] >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
+        part = ((key[at] >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
         by = np.lexsort((pos[at], doc[at], part))
         at, part = at[by], part[by]
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
