@@ -37,7 +37,7 @@ _BASIC_WORDS = (
 _TRIGGERS = (
     "pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "://", "akia", "asia", "ghp_", "gho_", "ghs_",
     "ghu_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "sk_test_", "xox", "sg.", "aiza", "eyj", "npm_", "pypi-", "hf_", "dop_v1_",
-    "shpat_", "sk-", "ya29.", "hooks.slack", "mysql", "curl ", "-----begin",
+    "shpat_", "sk-", "ya29.", "mysql", "curl ", "-----begin",
 )
 _FORMATS = re.compile(
     r"(?<![A-Za-z0-9_])(?:"
@@ -48,7 +48,7 @@ _FORMATS = re.compile(
     r"sk-(?:ant-|proj-)?[A-Za-z0-9_-]{30,}|ya29\.[A-Za-z0-9_-]{20,}|"
     r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}))"
 )
-_HOOK = re.compile(r"hooks\.slack\.com/services/(?P<v>T\w{6,}/B\w{6,}/\w{16,})")
+_HOOK = re.compile(r"https?://[^\s\"'`<>]*?/(?:hooks?|services|webhooks?)/(?P<v>(?:T\w{6,}/B\w{6,}/|\d{6,}/)?[\w-]{16,})")
 _PEM = re.compile(
     r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S
 )
@@ -66,7 +66,7 @@ _STRING = r"""(?:(?:[rRbBuUfF]{0,2})(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`
 _NAME = r"(?P<name>[A-Za-z_][\w.-]*)"
 _QUOTED = re.compile(
     _NAME
-    + r"""["'`]?\s*\]?\s*(?::\s*&?[^=\n"'`,;(){}]{0,40}=|:=|=>|\?\?=|\|\|=|[:=,]|\(|\.set\()\s*(?:concat!\(\s*|\(\s*)?"""
+    + r"""["'`]?\s*\]?\s*(?::[ \t]*&?[^=\n"'`,;(){}]{0,40}=|:=|=>|\?\?=|\|\|=|[:=,]|\(|\.set\()\s*(?:concat!\(\s*|\(\s*)?"""
     + r"(?P<val>"
     + _STRING
     + r"(?:\s*[+,]?\s*\\?\n?\s*"
@@ -83,7 +83,7 @@ _SECRET_NAME = re.compile(
 _PASSWORD_NAME = re.compile(r"\b(?:password|passwords|passwd|pwd|passphrase|passcode|pass)\b")
 _NO_NAME = re.compile(
     r"\b(?:hash|hashes|hashed|checksum|digest|sha\d*|md5|fingerprint|public|pubkey|commit|trace|etag|uuid|ref|revision|url|uri|endpoint|"
-    r"regex|pattern|csrf|author|icon|image)\b"
+    r"regex|pattern|csrf|author|icon|image|count|max|min|limit|ttl|size|length|expiry|expires|version)\b"
 )
 _NO_VALUE = re.compile(
     r"\$\{|\{\{|\}\}|^\{.*\}$|<[^>]*>|%\(|%s|%v|^\$[A-Za-z_]|^%[A-Z_]+%$|\*{3,}|•|(?:x{5,}|X{5,}|\.{3,}|#{4,}|0{8,}|-{5,}|_{5,})|"
@@ -182,7 +182,7 @@ def find_secrets(text: str, language: str, words: set[str]) -> list[tuple[int, i
         if not re.search(r"(.)\1{5}|EXAMPLE|example|your|XXXX|placeholder", v) and unexplained(core, words) >= 8:
             spans.append(m.span())
     for m in scan(_HOOK):
-        if not re.search(r"(.)\1{5}", m.group("v")):
+        if usable(m.group("v"), 12) and re.search(r"\d|[a-z][A-Z]", m.group("v")):
             spans.append(m.span("v"))
     for m in scan(_URL_USER):
         if usable(m.group("v"), 3):
@@ -212,8 +212,7 @@ def find_secrets(text: str, language: str, words: set[str]) -> list[tuple[int, i
         value = "".join(text[a:b] for a, b in joined)
         if re.search(r"\s", value) or not value:
             continue
-        least = 4 if _PASSWORD_NAME.search(name) or "secret" in name else 6
-        if usable(value, least) and (re.search(r"\d", value) or unexplained(value, words) >= 12):
+        if usable(value, 4) and re.search(r"[A-Za-z]", value) and (re.search(r"\d", value) or unexplained(value, words) >= 12):
             spans.extend(joined)
     inside = None
     for m in scan(_BARE):

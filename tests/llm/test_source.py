@@ -73,6 +73,10 @@ WORDS = set("harbor ledger spectrum column visible secret token type name passwo
         ("# password: Lexeme_z9oOIw66", "Lexeme_z9oOIw66"),
         ('env = "HARBOR_PASSWORD=ZAyPx2NIMnZjKPxeuMytDjc6nnR7"', "ZAyPx2NIMnZjKPxeuMytDjc6nnR7"),
         ('let auth_token = "b03fe7490c33f58898f05b45a66e4d78";', "b03fe7490c33f58898f05b45a66e4d78"),
+        ('try:\n    api_key = "n/S/nsX0fii1+Ywtb+XJA73NIoV/fG5HDqFbk7jIPkA="', "n/S/nsX0fii1+Ywtb+XJA73NIoV/fG5HDqFbk7jIPkA="),
+        ('hook = "https://harbor.invalid/hooks/TS3AQQLVB/B6RPEJ4MP/mENtNRachOi6iqHFusOnkNjN"', "TS3AQQLVB/B6RPEJ4MP/mENtNRachOi6iqHFusOnkNjN"),
+        ('f(api_key="Harbor_DTG9")', "Harbor_DTG9"),
+        ('max_token_count = "80313"', None),
         ('passwordColumn = "secret name"', None),
         ('token = "{{ vault.harbor.token }}"', None),
         ('password = os.environ["DB_PASSWORD"]', None),
