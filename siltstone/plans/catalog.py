@@ -5,6 +5,7 @@ from siltstone.plans import (  # noqa: F401
     graph_queries,
     hierarchy_queries,
     ingest_queries,
+    more_queries,
     search_queries,
 )
 from siltstone.plans.registry import QUERIES, SQL  # noqa: F401
