@@ -43,14 +43,13 @@ def duplicate_groups(symbols: DataFrame, by: list[str], top: int = TOP_N) -> Dat
     """Callables of at least five lines with equal code, per group the count and
     the sorted distinct names and paths; the largest groups first, `top` of each
     value of `by` (of all if empty)."""
-    g = (
-        symbols.where(is_callable() & (F.col("end_line") - F.col("start_line") >= DUPLICATE_SPAN) & F.col("hash").isNotNull())
-        .groupBy(*by, "hash").agg(
-            F.count("*").alias("copies"), F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("path")).alias("paths")
-        ).where("copies > 1")
-    )
+    some = symbols.where(is_callable() & (F.col("end_line") - F.col("start_line") >= DUPLICATE_SPAN) & F.col("hash").isNotNull())
     order = [F.desc("copies"), F.col("hash")]
-    return top_per(g, by, order, top) if by else g.orderBy(*order).limit(top)
+    g = some.groupBy(*by, "hash").agg(F.count("*").alias("copies")).where("copies > 1")
+    g = top_per(g, by, order, top) if by else g.orderBy(*order).limit(top)
+    named = some.select(*by, "hash", "name", "path").distinct().join(g, [*by, "hash"])
+    return named.groupBy(*by, "hash").agg(
+        F.max("copies").alias("copies"), F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("path")).alias("paths"))
 
 
 def dead_code(symbols: DataFrame, callers: DataFrame, identifiers: DataFrame) -> DataFrame:
@@ -79,27 +78,27 @@ def shared_utilities(symbols: DataFrame, callers: DataFrame, top: int = TOP_N) -
 
 
 def class_methods(symbols: DataFrame) -> DataFrame:
-    """Classes, structs and interfaces with the number and names of their methods."""
+    """Classes, structs and interfaces with the number of their methods and, for
+    each pattern that asks for one, whether a method's name fits it. Only counts
+    and flags are aggregated, so a class of any size stays one small row."""
+    asks = [(what, method) for _, what, _, method in PATTERNS if method]
     m = symbols.where("type = 'method' and parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(
-        F.count("*").alias("methods"), F.array_sort(F.collect_set("name")).alias("method_names")
+        F.count("*").alias("methods"), *[F.bool_or(F.rlike("name", F.lit(method))).alias(f"fits_{what}") for what, method in asks]
     )
     return symbols.where(F.col("type").isin("class", "struct", "interface")).join(m, "id", "left").select(
-        "id", "repository_id", "name", "path", "start_line", "signature", loc().alias("loc"),
-        F.coalesce("methods", F.lit(0)).alias("methods"), F.coalesce("method_names", F.array().cast("array<string>")).alias("method_names"),
+        "id", "repository_id", "name", "path", "start_line", "signature", loc().alias("loc"), F.coalesce("methods", F.lit(0)).alias("methods"),
+        *[F.coalesce(f"fits_{what}", F.lit(False)).alias(f"fits_{what}") for what, _ in asks],
     )
 
 
-def _starts(pattern: str):
-    return lambda m: F.rlike(m, F.lit(pattern))
-
-
-def design_pattern(name: Column, methods: Column) -> tuple[Column, Column]:
-    """(label, confidence) of the first rule that a class meets, else nulls."""
+def design_pattern(name: Column) -> tuple[Column, Column]:
+    """(label, confidence) of the first rule that a row of `class_methods`
+    meets, else nulls."""
     label = conf = None
     for ending, what, sure, method in PATTERNS:
         test = F.rlike(name, F.lit(ending))
         if method:
-            test = test & F.exists(methods, _starts(method))
+            test = test & F.col(f"fits_{what}")
         label = F.when(test, what) if label is None else label.when(test, what)
         conf = F.when(test, sure) if conf is None else conf.when(test, sure)
     return label, conf
@@ -108,7 +107,7 @@ def design_pattern(name: Column, methods: Column) -> tuple[Column, Column]:
 def findings(symbols: DataFrame, duplicates: DataFrame, dead: DataFrame) -> DataFrame:
     """Union of the findings: repository_id, category, title, target, confidence."""
     classes = class_methods(symbols)
-    label, sure = design_pattern(F.col("name"), F.col("method_names"))
+    label, sure = design_pattern(F.col("name"))
     row = lambda df, category, title, target, confidence: df.select(
         "repository_id", F.lit(category).alias("category"), title.alias("title"), target.alias("target"), confidence.alias("confidence")
     )
@@ -175,7 +174,8 @@ def collaborators(calls: DataFrame, symbols: DataFrame, most: int = 8) -> DataFr
     defs = symbols.join(few, ["repository_id", "name"], "left_semi").select("repository_id", F.col("path").alias("other"), "name").distinct()
     pair = uses.join(defs, ["repository_id", "name"]).where("path <> other").select("repository_id", "path", "other").distinct()
     both = pair.unionByName(pair.select("repository_id", F.col("other").alias("path"), F.col("path").alias("other"))).distinct()
-    return both.groupBy("repository_id", "path").agg(F.slice(F.array_sort(F.collect_set("other")), 1, most).alias("collaborators"))
+    first = top_per(both, ["repository_id", "path"], [F.col("other")], most)
+    return first.groupBy("repository_id", "path").agg(F.array_sort(F.collect_list("other")).alias("collaborators"))
 
 
 def file_understanding(symbols: DataFrame) -> DataFrame:

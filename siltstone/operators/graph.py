@@ -79,8 +79,9 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def call_in_degree(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """``id, callers``: distinct callers of each symbol, resolved by name. All
-    symbols of a name share the count of the name, so it is counted once."""
-    per_name = calls.groupBy("repository_id", F.col("callee_name").alias("name")).agg(F.countDistinct("caller").alias("callers"))
+    symbols of a name share the count of the name, so it is counted once;
+    `calls` has a caller once for each name."""
+    per_name = calls.groupBy("repository_id", F.col("callee_name").alias("name")).agg(F.count("caller").alias("callers"))
     return symbols.select("repository_id", "name", "id").join(per_name, ["repository_id", "name"], "left").select(
         "id", F.coalesce("callers", F.lit(0)).alias("callers")
     )

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from siltstone.session import Stage
+
 LINE_LIMIT = 100
 NAME_LIMIT = 20
 LEAST_FUZZY = 0.45
@@ -176,3 +178,18 @@ def enclosing_symbol(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 def top_per(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str = "seq") -> DataFrame:
+    """Numbers the rows of each group in order, from 1, without holding a group
+    in one task: rows are range-partitioned by group and order, numbered inside
+    each partition, and shifted by the counts of the partitions before it."""
+    stage = Stage(df.sparkSession, "numbers")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id())
+    ranged = stage.write(ranged, "ranged")
+    count = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    ahead = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    count = count.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))
+    return ranged.withColumn(name, inside).join(count, [*by, "_part"]).withColumn(name, F.col(name) + F.col("_ahead")).drop("_part", "_ahead")

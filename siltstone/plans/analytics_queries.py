@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import base_name, dir_name
 from siltstone.operators import analytics as A
 from siltstone.operators import graph as G
+from siltstone.operators.search import top_per
 from siltstone.plans.registry import query
 from siltstone.plans.views import BASE, CALLS, DIR, INDEG, S, TX, calls, sym, texts
 from siltstone.sources.tables import table
@@ -104,7 +105,7 @@ _CLS = ("repository_id", "name", "type", "path", "start_line", "end_line", "sign
 @query("design_pattern", f"WITH {S}, {_CLASSES} SELECT id, name, {_PATTERN} AS pattern FROM k WHERE {_PATTERN} IS NOT NULL")
 def design_pattern(spark, base):
     k = A.class_methods(sym(spark, base, *_CLS))
-    label, _ = A.design_pattern(F.col("name"), F.col("method_names"))
+    label, _ = A.design_pattern(F.col("name"))
     return k.select("id", "name", label.alias("pattern")).where("pattern is not null")
 
 
@@ -231,8 +232,6 @@ def architecture_bullets(spark, base):
 @query("key_modules", f"WITH {S} SELECT repository_id, path, count(*) AS n FROM s GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY n DESC, path) <= 10")
 def key_modules(spark, base):
     n = sym(spark, base, "repository_id", "path").groupBy("repository_id", "path").agg(F.count("*").alias("n"))
-    from siltstone.operators.search import top_per
-
     return top_per(n, ["repository_id"], [F.desc("n"), F.col("path")], 10)
 
 
@@ -243,10 +242,11 @@ def comprehension_entry_points(spark, base):
 
 
 @query("repo_understanding", f"""WITH {S}, fp AS (SELECT repository_id, path, md5(array_to_string(list_sort(list(hash)), ',')) AS fingerprint FROM s WHERE hash IS NOT NULL GROUP BY 1, 2)
-SELECT repository_id, count(*) AS n_files, md5(string_agg(fingerprint, ',' ORDER BY fingerprint)) AS fingerprint FROM fp GROUP BY 1""")
+SELECT repository_id, count(*) AS n_files, CAST(sum(CAST('0x' || substr(fingerprint, 1, 12) AS BIGINT)) AS BIGINT) AS fingerprint FROM fp GROUP BY 1""")
 def repo_understanding(spark, base):
-    return group_fingerprint(spark, base).groupBy("repository_id").agg(
-        F.count("*").alias("n_files"), F.md5(F.array_join(F.array_sort(F.collect_list("fingerprint")), ",")).alias("fingerprint"))
+    # a sum of hashes is the same in any order and aggregates partially
+    part = F.conv(F.substring("fingerprint", 1, 12), 16, 10).cast("long")
+    return group_fingerprint(spark, base).groupBy("repository_id").agg(F.count("*").alias("n_files"), F.sum(part).alias("fingerprint"))
 
 
 @query("explain_package", f"WITH {S} SELECT repository_id, count(DISTINCT path) AS modules FROM s WHERE starts_with(path, 'services/') GROUP BY 1")

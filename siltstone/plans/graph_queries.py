@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import dir_name
 from siltstone.operators import graph as G
+from siltstone.operators.search import top_per
 from siltstone.plans.registry import query
 from siltstone.plans.views import CALLS, DIR, FI, INDEG, S, TX, calls, fil, sym, texts
 from siltstone.sources.tables import table
@@ -82,10 +83,10 @@ def neighborhood_edges(spark, base):
     return G.neighborhood(_edges(spark, base), _focus(spark, base), 1)[1].select("src", "dst")
 
 
-@query("children_by_parent", f"WITH {S} SELECT parent_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM s WHERE parent_id IS NOT NULL GROUP BY 1")
+@query("children_by_parent", f"WITH {S} SELECT parent_id, id, name, count(*) OVER (PARTITION BY parent_id) AS siblings FROM s WHERE parent_id IS NOT NULL")
 def children_by_parent(spark, base):
     s = sym(spark, base, "parent_id", "name").where("parent_id is not null")
-    return s.groupBy("parent_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+    return s.join(s.groupBy("parent_id").agg(F.count("*").alias("siblings")), "parent_id").select("parent_id", "id", "name", "siblings")
 
 
 @query("extract_calls", f"WITH {CALLS} SELECT repository_id, caller, callee_name FROM raw WHERE callee_name <> name AND callee_name NOT IN (" + ", ".join(f"'{w}'" for w in G.NOT_CALLS) + ")")
@@ -171,7 +172,8 @@ def symbol_context(spark, base):
     c = calls(spark, base)
     out = c.groupBy(F.col("caller").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("callee_name")), ",").alias("calls"))
     named = c.join(s.select(F.col("id").alias("caller"), F.col("name").alias("by")), "caller").select("repository_id", F.col("callee_name").alias("name"), "by").distinct()
-    inn = named.groupBy("repository_id", "name").agg(F.array_join(F.slice(F.array_sort(F.collect_set("by")), 1, 10), ",").alias("called_by"))
+    first = top_per(named, ["repository_id", "name"], [F.col("by")], 10)
+    inn = first.groupBy("repository_id", "name").agg(F.array_join(F.array_sort(F.collect_list("by")), ",").alias("called_by"))
     parent = s.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
     return s.join(parent, "parent_id", "left").join(out, "id", "left").join(inn, ["repository_id", "name"], "left").select(
         "id", "parent", F.coalesce("calls", F.lit("")).alias("calls"), F.coalesce("called_by", F.lit("")).alias("called_by")
@@ -234,8 +236,6 @@ AND regexp_extract(f.path, '([^/.]+)[^/]*$', 1) = regexp_extract(i.module, '([^/
 
 @query("most_depended", f"WITH {_MODULES} SELECT repository_id, dst AS path, count(*) AS n FROM me GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY n DESC, path) <= 10")
 def most_depended(spark, base):
-    from siltstone.operators.search import top_per
-
     n = _module_edges(spark, base).groupBy("repository_id", F.col("dst").alias("path")).agg(F.count("*").alias("n"))
     return top_per(n, ["repository_id"], [F.desc("n"), F.col("path")], 10)
 

@@ -127,10 +127,7 @@ def manifest_projection(spark, base):
 
 @query("files_ordered", f"WITH {FI} SELECT repository_id, path, row_number() OVER (PARTITION BY repository_id ORDER BY path) AS seq FROM f")
 def files_ordered(spark, base):
-    from pyspark.sql import Window as W
-
-    seq = F.row_number().over(W.partitionBy("repository_id").orderBy("path")).cast("long")
-    return fil(spark, base, "repository_id", "path").select("repository_id", "path", seq.alias("seq"))
+    return Q.row_numbers(fil(spark, base, "repository_id", "path"), ["repository_id"], ["path"]).select("repository_id", "path", "seq")
 
 
 @query("repo_lookup", "SELECT id, path, name FROM repositories WHERE path = (SELECT min(path) FROM repositories)")

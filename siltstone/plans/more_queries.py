@@ -7,7 +7,7 @@ from siltstone.functions.text import clamp
 from siltstone.operators import analytics as A
 from siltstone.operators import enrich as E
 from siltstone.operators.extract import extract_symbols
-from siltstone.operators.search import top_per
+from siltstone.operators.search import row_numbers, top_per
 from siltstone.plans.registry import query
 from siltstone.plans.views import DIR, S, fil, sym, texts
 from siltstone.sources.tables import table
@@ -26,8 +26,8 @@ def extract_symbol_counts(spark, base):
 
 @query("symbols_ordered", f"WITH {S} SELECT id, row_number() OVER (PARTITION BY repository_id ORDER BY path, start_line, id) AS seq FROM s")
 def symbols_ordered(spark, base):
-    seq = F.row_number().over(W.partitionBy("repository_id").orderBy("path", "start_line", "id")).cast("long")
-    return sym(spark, base, "repository_id", "path", "start_line").select("id", seq.alias("seq"))
+    s = sym(spark, base, "repository_id", "path", "start_line")
+    return row_numbers(s, ["repository_id"], ["path", "start_line", "id"]).select("id", "seq")
 
 
 @query("symbols_for_file", f"WITH {S} SELECT file_id, count(*) AS n, array_to_string(list_transform(list_sort(list(struct_pack(a := start_line, b := id, c := name))), lambda x: x.c), ',') AS names FROM s GROUP BY 1")
@@ -76,10 +76,10 @@ def metrics_struct(spark, base):
     return e.select("event_id", clamp(F.coalesce("j.k", F.lit(0.0)) / 100.0).alias("complexity"))
 
 
-@query("retrieve_filtered", f"WITH {S} SELECT id FROM s WHERE lower(trim(language)) = 'rust' AND type = 'method' AND visibility = 'public'")
+@query("retrieve_filtered", f"WITH {S} SELECT id FROM s WHERE lower(trim(language)) = 'rust'  AND type = 'method'")
 def retrieve_filtered(spark, base):
-    s = sym(spark, base, "language", "type", "visibility")
-    return s.where((F.lower(F.trim("language")) == "rust") & (F.col("type") == "method") & (F.col("visibility") == "public")).select("id")
+    s = sym(spark, base, "language", "type")
+    return s.where((F.lower(F.trim("language")) == "rust") & (F.col("type") == "method")).select("id")
 
 
 @query("qa_citations", f"""WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY end_line - start_line DESC, path, start_line, id) AS rn FROM s)

@@ -178,7 +178,7 @@ def test_patterns(spark):
     rows += [(f"m{i}", "k1", f"find_{i}", "method") for i in range(16)] + [("f", "k3", "create", "method"), ("g", "k2", "name", "method")]
     s = spark.createDataFrame([(*r, "r", "p", 1, 3, "sig") for r in rows], "id string, parent_id string, name string, type string, repository_id string, path string, start_line int, end_line int, signature string")
     k = A.class_methods(s)
-    label, _ = A.design_pattern(F.col("name"), F.col("method_names"))
+    label, _ = A.design_pattern(F.col("name"))
     got = {r.name: (r.label, r.methods) for r in k.withColumn("label", label).collect()}
     assert got == {"UserRepository": ("Repository", 16), "Repository": (None, 1), "OrderFactory": ("Factory", 1), "PayService": ("Service", 0)}
 
