@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.kernels import code_points, mix64
+from siltstone.llm.kernels import code_points
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
@@ -37,10 +37,11 @@ _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", r
 _DROP_LINE = re.compile(r"^\s*(?:#{1,6}(?:\s|$)|[|>]|={3,}\s*$|-{3,}\s*$|\*{3,}\s*$|at \S+ \(|File \"|Traceback )")
 _UNDERLINE = re.compile(r"^[ \t]*\S[^\n]*\n[ \t]*(?:={3,}|-{3,})[ \t]*$", re.M)
 _PREFIX = re.compile(r"^\s*(?:[-*+•]\s+|\d+[.)]\s+)?(?:(?i:feat|fix|docs|chore|refactor|test|perf|style|build|ci|revert)(?:\([^)\n]*\))?!?:\s*)?")
-_NOISE = re.compile(
-    r"`[^`\n]*`|\"[^\"\n]*\"|«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]|「[^」\n]*」|『[^』\n]*』|https?://\S+|"
-    r"\b[\w.-]*[/\\][\w./\\-]*(?::\d+)?:?|\b\w*_\w+(?:\(\))?|\b[A-Za-z]+\(\)|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z]+[A-Z]\w*|\b\w+\.(?:py|js|ts|tsx|go|rs|java|md|json)\b|[0-9]+"
-)
+_QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]|「[^」\n]*」|『[^』\n]*』")
+#: A word that is a path, a number, an identifier or a file name.
+_NO_WORD = re.compile(r"[/\\_0-9]|\(\)|[a-z][A-Z]|\w\.(?:py|js|ts|tsx|go|rs|java|md|json)\b")
+_ASCII = re.compile(r"[!-~]+")
+_NOT_LETTERS = re.compile(r"[^\w']+|[\d_]+| +")
 _FOLD = str.maketrans(
     "àáâãäåāçćčèéêëēìíîïīñńòóôõöøōùúûüūýÿšžßœæłđ",
     "aaaaaaaccceeeeeiiiiinnooooooouuuuuyyszsoald",
@@ -54,36 +55,32 @@ def paragraphs(text: str) -> list[str]:
     out = []
     for block in re.split(r"\n[ \t]*\n", text):
         lines = [_PREFIX.sub("", x) for x in block.split("\n") if not _DROP_LINE.match(x)]
-        prose = _NOISE.sub(" ", " ".join(lines)).lower().translate(_FOLD)
-        prose = " ".join("".join(c if c.isalpha() or c == "'" else " " for c in prose).split())
+        words = _QUOTED.sub(" ", " ".join(lines)).split()
+        words = [w if not _NO_WORD.search(w) else "" if w.isascii() else _ASCII.sub(" ", w) for w in words]
+        prose = " ".join(words).lower().translate(_FOLD)
+        prose = _NOT_LETTERS.sub(" ", prose).strip()
         if len(prose) > 1:
             out.append(prose)
     return out
 
 
-def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bucket) of every character n-gram within each text."""
-    joined = code_points("\n".join(f" {t} " for t in texts) + "\n").astype(np.uint64)
+def gram_buckets(texts: list[str]):
+    """For each n-gram size (text index, bucket) of the character n-grams within
+    each text, in order of the texts."""
+    joined = code_points("\n".join(f" {t} " for t in texts) + "\n")
     stop = joined == 10
     owner = np.cumsum(stop) - stop
-    which, bucket = [], []
+    h = joined * np.uint32(0x85EBCA6B)
+    ok = ~stop
     with np.errstate(over="ignore"):
-        for n in SIZES:
+        for n in range(2, max(SIZES) + 1):
             m = len(joined) - n + 1
             if m <= 0:
-                continue
-            h = np.full(m, n, dtype=np.uint64)
-            ok = np.ones(m, dtype=bool)
-            for k in range(n):
-                h = h * np.uint64(0x100000001B3) + joined[k : k + m]
-                ok &= ~stop[k : k + m]
-            which.append(owner[:m][ok])
-            bucket.append((mix64(h[ok]) % np.uint64(BUCKETS)).astype(np.int64))
-    if not which:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    which, bucket = np.concatenate(which), np.concatenate(bucket)
-    order = np.argsort(which, kind="stable")
-    return which[order], bucket[order]
+                return
+            h = h[:m] * np.uint32(0x01000193) + joined[n - 1 :]
+            ok = ok[:m] & ~stop[n - 1 :]
+            if n in SIZES:
+                yield owner[:m][ok], ((h[ok] ^ (h[ok] >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
 def scores(texts: list[str], logp: np.ndarray) -> np.ndarray:
@@ -91,12 +88,12 @@ def scores(texts: list[str], logp: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), logp.shape[1]))
     at, size = 0, 0
     for i in range(len(texts) + 1):
-        if i == len(texts) or size > 400_000:
+        if i == len(texts) or size > 200_000:
             if i > at:
-                which, bucket = gram_buckets(texts[at:i])
-                if len(which):
-                    start = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-                    out[at + which[start]] = np.add.reduceat(logp[bucket], start, axis=0)
+                for which, bucket in gram_buckets(texts[at:i]):
+                    if len(which):
+                        start = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+                        out[at + which[start]] += np.add.reduceat(logp[bucket], start, axis=0)
             at, size = i, 0
         if i < len(texts):
             size += len(texts[i])
@@ -136,8 +133,10 @@ def _counts(languages: list[str], logp):
             owner = np.asarray(owner)
             if model is not None:
                 owner = scores(texts, model.value).argmax(axis=1)
-            which, bucket = gram_buckets(texts)
-            np.add.at(total.reshape(-1), owner[which] * BUCKETS + bucket, np.asarray(weight, dtype=np.float32)[which])
+            weight = np.asarray(weight)
+            for which, bucket in gram_buckets(texts):
+                cell = owner[which] * BUCKETS + bucket
+                total += np.bincount(cell, weights=weight[which], minlength=total.size).reshape(total.shape)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(len(languages)), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["lang", "counts"]
         )
