@@ -1,6 +1,6 @@
 """Headline queries on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]``; one JSON line."""
 
-import importlib.util
+import importlib
 import json
 import os
 import time
@@ -22,11 +22,11 @@ def main() -> None:
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     known = dict(catalog.QUERIES)
     names = list(CORE)
-    if importlib.util.find_spec("siltstone.llm"):
-        from siltstone.llm.queries import QUERIES
-
-        known |= QUERIES
+    try:
+        known |= importlib.import_module("siltstone.llm.queries").QUERIES
         names += LLM
+    except ModuleNotFoundError:
+        pass
     spark.range(1000).selectExpr("sum(id)").collect()
     took = {}
     for name in names:
