@@ -7,7 +7,11 @@ from siltstone.functions.text import clamp
 from siltstone.operators import analytics as A
 from siltstone.operators import enrich as E
 from siltstone.operators.extract import extract_symbols
+from siltstone.operators.graph import contains_edges
+from siltstone.operators.retrieval import graph_signal
 from siltstone.operators.search import row_numbers, top_per
+from siltstone.operators.search import symbol_search as symbol_search_op
+from siltstone.plans.graph_queries import EDGES
 from siltstone.plans.registry import query
 from siltstone.plans.views import DIR, S, fil, sym, texts
 from siltstone.sources.tables import table
@@ -121,3 +125,25 @@ def language_by_directory(spark, base):
     from siltstone.functions.text import dir_name
 
     return fil(spark, base, "repository_id", "path", "language").groupBy("repository_id", dir_name(F.col("path")).alias("package"), "language").agg(F.count("*").alias("n"))
+
+
+_NAMED = """n AS (SELECT id, name, path, start_line, lower(name) AS low FROM s), sc AS (SELECT *, CASE WHEN low = 'load' THEN 1.0
+WHEN starts_with(low, 'load') THEN round(0.9 - 0.1 * (length(low) - 4) / greatest(length(low), 1), 4) WHEN contains(low, 'load') THEN 0.7 END AS score FROM n),
+named AS (SELECT id, name, CAST(score AS DOUBLE) AS score FROM sc WHERE score IS NOT NULL ORDER BY score DESC, length(name), path, start_line, id LIMIT 20)"""
+
+
+def _named(spark, base):
+    s = sym(spark, base, "name", "type", "path", "start_line", "language")
+    return symbol_search_op(s.where(F.contains(F.lower("name"), F.lit("load"))), "load", fuzzy=False)
+
+
+@query("symbol_search", f"WITH {S}, {_NAMED} SELECT id, name, score FROM named")
+def symbol_search(spark, base):
+    return _named(spark, base).select("id", "name", "score")
+
+
+@query("graph_proximity", f"WITH {EDGES}, {_NAMED}, seeds AS (SELECT id FROM named ORDER BY score DESC, id LIMIT 5) SELECT DISTINCT id, 0.5::DOUBLE AS score FROM (SELECT dst AS id FROM edges WHERE src IN (SELECT id FROM seeds) UNION SELECT src FROM edges WHERE dst IN (SELECT id FROM seeds))")
+def graph_proximity(spark, base):
+    merged = _named(spark, base).select("id", F.col("score").alias("symbol"), F.lit(0.0).alias("vector"))
+    edges = contains_edges(table(spark, base, "repositories"), fil(spark, base, "repository_id"), sym(spark, base, "file_id", "parent_id"))
+    return graph_signal(merged, edges)
