@@ -72,7 +72,7 @@ def dead_code(spark, base):
 
 @query("entry_points", f"WITH {S} SELECT repository_id, path, start_line FROM s WHERE name = 'main' AND type IN ('function', 'method')")
 def entry_points(spark, base):
-    return sym(spark, base, "repository_id", "path", "start_line", "name", "type").where("name = 'main' and type in ('function', 'method')").select("repository_id", "path", "start_line")
+    return sym(spark, base, "repository_id", "path", "start_line", where="name = 'main' and type in ('function', 'method')").select("repository_id", "path", "start_line")
 
 
 @query("shared_utilities", f"""WITH {INDEG}, h AS (SELECT repository_id, name FROM s GROUP BY 1, 2 HAVING count(*) <= 3)
@@ -128,7 +128,7 @@ def utility_abuse(spark, base):
 
 @query("long_functions", f"WITH {S} SELECT id, end_line - start_line + 1 AS loc FROM s WHERE type IN ('function', 'method') AND end_line - start_line + 1 >= 60")
 def long_functions(spark, base):
-    return sym(spark, base, "type", "start_line", "end_line").where(A.is_callable()).select("id", A.loc().alias("loc")).where(f"loc >= {A.LONG_LOC}")
+    return sym(spark, base, "start_line", "end_line", where=A.is_callable()).select("id", A.loc().alias("loc")).where(f"loc >= {A.LONG_LOC}")
 
 
 _SURE = "CASE " + " ".join(
@@ -251,12 +251,12 @@ def repo_understanding(spark, base):
 
 @query("explain_package", f"WITH {S} SELECT repository_id, count(DISTINCT path) AS modules FROM s WHERE starts_with(path, 'services/') GROUP BY 1")
 def explain_package(spark, base):
-    return sym(spark, base, "repository_id", "path").where(F.startswith("path", F.lit("services/"))).groupBy("repository_id").agg(F.countDistinct("path").alias("modules"))
+    return sym(spark, base, "repository_id", "path", where=F.startswith("path", F.lit("services/"))).groupBy("repository_id").agg(F.countDistinct("path").alias("modules"))
 
 
 @query("explain_symbol", f"WITH {S} SELECT repository_id, arg_min(struct_pack(path := path, line := start_line), struct_pack(a := path, b := start_line, c := id)) AS place FROM s WHERE name = 'parse' GROUP BY 1".replace("SELECT repository_id, arg_min", "SELECT repository_id, place.path AS path, place.line AS line FROM (SELECT repository_id, arg_min") + ")")
 def explain_symbol(spark, base):
-    s = sym(spark, base, "repository_id", "path", "start_line", "name").where("name = 'parse'")
+    s = sym(spark, base, "repository_id", "path", "start_line", where="name = 'parse'")
     return s.groupBy("repository_id").agg(F.min(F.struct("path", "start_line", "id")).alias("p")).select("repository_id", F.col("p.path").alias("path"), F.col("p.start_line").alias("line"))
 
 
@@ -269,7 +269,7 @@ def qa_context_budget(spark, base):
 
 @query("enrichment_candidates", f"WITH {S} SELECT id FROM s WHERE type IN ('class', 'function', 'method', 'interface', 'struct', 'trait', 'enum')")
 def enrichment_candidates(spark, base):
-    return sym(spark, base, "type").where(F.col("type").isin("class", "function", "method", "interface", "struct", "trait", "enum")).select("id")
+    return sym(spark, base, "type", where=F.col("type").isin("class", "function", "method", "interface", "struct", "trait", "enum")).select("id")
 
 
 @query("domain_layer_counts", "SELECT lower(trim(source)) AS source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")

@@ -6,7 +6,7 @@ from siltstone.functions.text import dir_name
 from siltstone.operators import graph as G
 from siltstone.operators.search import top_per
 from siltstone.plans.registry import query
-from siltstone.plans.views import CALLS, DIR, FI, INDEG, S, TX, calls, fil, sym, texts
+from siltstone.plans.views import CALLS, DIR, FI, INDEG, S, TX, calls, fil, raw_calls, sym, texts
 from siltstone.sources.tables import table
 
 EDGES = f"""{S}, {FI}, e AS (SELECT repository_id AS src, id AS dst, 'contains' AS type FROM f WHERE repository_id IN (SELECT id FROM repositories)
@@ -91,7 +91,7 @@ def children_by_parent(spark, base):
 
 @query("extract_calls", f"WITH {CALLS} SELECT repository_id, caller, callee_name FROM raw WHERE callee_name <> name AND callee_name NOT IN (" + ", ".join(f"'{w}'" for w in G.NOT_CALLS) + ")")
 def extract_calls(spark, base):
-    return G.extract_calls(sym(spark, base, "repository_id", "name", "type", "code"))
+    return raw_calls(spark, base)
 
 
 @query("call_graph_edges", f"WITH {CALLS} SELECT repository_id, caller, callee_name FROM c")
@@ -215,7 +215,7 @@ def resolve_imports(spark, base):
 @query("orphan_modules", f"WITH {_RESOLVED}, {S} SELECT repository_id, path FROM f WHERE (repository_id, path) NOT IN (SELECT repository_id, target FROM resolved WHERE path <> target) AND (repository_id, path) NOT IN (SELECT repository_id, path FROM s WHERE name = 'main' AND type IN ('function', 'method'))")
 def orphan_modules(spark, base):
     used = _resolved(spark, base).where("path <> target").select("repository_id", F.col("target").alias("path"))
-    main = sym(spark, base, "repository_id", "path", "name", "type").where("name = 'main' and type in ('function', 'method')").select("repository_id", "path")
+    main = sym(spark, base, "repository_id", "path", where="name = 'main' and type in ('function', 'method')").select("repository_id", "path")
     return fil(spark, base, "repository_id", "path").select("repository_id", "path").join(used.union(main).distinct(), ["repository_id", "path"], "left_anti")
 
 

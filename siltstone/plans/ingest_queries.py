@@ -6,7 +6,7 @@ from siltstone.functions import text as T
 from siltstone.operators import ingest as I
 from siltstone.operators import search as Q
 from siltstone.plans.registry import query
-from siltstone.plans.views import BASE, FI, S, TX, fil, sym, texts
+from siltstone.plans.views import BASE, FI, S, TX, fil, per_symbol, sym, texts
 from siltstone.sources.tables import table
 
 _LANG = "CASE " + " ".join(f"WHEN ext = '{k}' THEN '{v}'" for k, v in T.LANGUAGE_BY_SUFFIX.items()) + " " + " ".join(
@@ -144,13 +144,13 @@ def registry_list(spark, base):
 
 @query("symbols_by_name", f"WITH {S} SELECT id, repository_id, path, start_line FROM s WHERE name = 'parse'")
 def symbols_by_name(spark, base):
-    return sym(spark, base, "name", "repository_id", "path", "start_line").where("name = 'parse'").select("id", "repository_id", "path", "start_line")
+    return sym(spark, base, "repository_id", "path", "start_line", where="name = 'parse'")
 
 
 @query("symbol_candidates_filter", f"WITH {S} SELECT id, name, path FROM s WHERE lower(trim(language)) IN ('python', 'go') AND type IN ('function', 'method') AND path ILIKE 'Services/%'")
 def symbol_candidates_filter(spark, base):
-    s = sym(spark, base, "name", "path", "language", "type")
-    return s.where(F.lower(F.trim("language")).isin("python", "go") & F.col("type").isin("function", "method") & F.col("path").ilike("Services/%")).select("id", "name", "path")
+    some = F.lower(F.trim("language")).isin("python", "go") & F.col("type").isin("function", "method") & F.col("path").ilike("Services/%")
+    return sym(spark, base, "name", "path", where=some)
 
 
 @query("symbol_detail", f"WITH {S} SELECT s.id, s.name, s.end_line - s.start_line + 1 AS loc, p.name AS parent FROM s LEFT JOIN s p ON s.parent_id = p.id")
@@ -183,7 +183,7 @@ def identifier_keywords(spark, base):
 
 @query("signature", f"""WITH {S} SELECT id, coalesce(left(list_filter(list_transform(string_split(code, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')[1], 200), '') AS line FROM s""")
 def signature(spark, base):
-    return sym(spark, base, "code").select("id", T.first_line(F.col("code")).alias("line"))
+    return per_symbol(spark, base, line=T.first_line(F.col("code")))
 
 
 @query("visibility", f"""WITH {S}, l AS (SELECT id, name, signature, lower(trim(language)) AS lang, CASE WHEN contains(signature, name) THEN string_split(signature, name)[1] ELSE signature END AS lead FROM s)
@@ -228,15 +228,13 @@ def vocab_filter(spark, base):
 
 @query("embedding_text", f"WITH {S} SELECT id, md5(concat_ws(chr(10), type, name, language, signature, left(code, 2000))) AS digest FROM s")
 def embedding_text(spark, base):
-    s = sym(spark, base, "type", "name", "language", "signature", "code")
-    return s.select("id", F.md5(F.concat_ws("\n", "type", "name", "language", "signature", F.left("code", F.lit(2000)))).alias("digest"))
+    return per_symbol(spark, base, digest=F.md5(F.concat_ws("\n", "type", "name", "language", "signature", F.left("code", F.lit(2000)))))
 
 
 @query("payload_struct", f"WITH {S} SELECT id, name, coalesce(parent_id, '') AS parent, length(left(code, 2000)) AS code_chars FROM s")
 def payload_struct(spark, base):
-    s = sym(spark, base, "name", "parent_id", "code")
-    p = s.select("id", F.struct("name", F.coalesce("parent_id", F.lit("")).alias("parent"), F.left("code", F.lit(2000)).alias("code")).alias("payload"))
-    return p.select("id", "payload.name", "payload.parent", F.length("payload.code").cast("long").alias("code_chars"))
+    payload = F.struct("name", F.coalesce("parent_id", F.lit("")).alias("parent"), F.length(F.left("code", F.lit(2000))).cast("long").alias("code_chars"))
+    return per_symbol(spark, base, payload=payload).select("id", "payload.*")
 
 
 @query("symbol_summary", f"WITH {S} SELECT id, md5(type || ' `' || name || '` - ' || signature) AS summary FROM s WHERE signature IS NOT NULL")

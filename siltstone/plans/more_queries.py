@@ -82,8 +82,7 @@ def metrics_struct(spark, base):
 
 @query("retrieve_filtered", f"WITH {S} SELECT id FROM s WHERE lower(trim(language)) = 'rust'  AND type = 'method'")
 def retrieve_filtered(spark, base):
-    s = sym(spark, base, "language", "type")
-    return s.where((F.lower(F.trim("language")) == "rust") & (F.col("type") == "method")).select("id")
+    return sym(spark, base, "type", where=(F.lower(F.trim("language")) == "rust") & (F.col("type") == "method")).select("id")
 
 
 @query("qa_citations", f"""WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY end_line - start_line DESC, path, start_line, id) AS rn FROM s)
@@ -133,8 +132,8 @@ named AS (SELECT id, name, CAST(score AS DOUBLE) AS score FROM sc WHERE score IS
 
 
 def _named(spark, base):
-    s = sym(spark, base, "name", "type", "path", "start_line", "language")
-    return symbol_search_op(s.where(F.contains(F.lower("name"), F.lit("load"))), "load", fuzzy=False)
+    s = sym(spark, base, "name", "type", "path", "start_line", "language", where=F.contains(F.lower("name"), F.lit("load")))
+    return symbol_search_op(s, "load", fuzzy=False)
 
 
 @query("symbol_search", f"WITH {S}, {_NAMED} SELECT id, name, score FROM named")

@@ -64,8 +64,7 @@ WHEN starts_with(low, 'parse') THEN round(0.9 - 0.1 * (length(low) - 5) / greate
 
 @query("symbol_search_exact_prefix", f"WITH {S}, {_SCORE} SELECT id, name, CAST(score AS DOUBLE) AS score FROM sc WHERE score IS NOT NULL ORDER BY score DESC, length(name), path, start_line, id LIMIT 20")
 def symbol_search_exact_prefix(spark, base):
-    s = sym(spark, base, "name", "type", "path", "start_line", "language")
-    s = s.where(F.startswith(F.lower("name"), F.lit("parse")))
+    s = sym(spark, base, "name", "type", "path", "start_line", "language", where=F.startswith(F.lower("name"), F.lit("parse")))
     return Q.symbol_search(s, "parse", fuzzy=False).select("id", "name", "score")
 
 
@@ -94,7 +93,7 @@ def symbols_page_search(spark, base):
 
 @query("biggest_symbols", f"WITH {S} SELECT id, end_line - start_line + 1 AS loc FROM s WHERE type IN ('function', 'method') ORDER BY loc DESC, path, start_line, id LIMIT 5")
 def biggest_symbols(spark, base):
-    s = sym(spark, base, "type", "path", "start_line", "end_line").where(F.col("type").isin("function", "method"))
+    s = sym(spark, base, "path", "start_line", "end_line", where=F.col("type").isin("function", "method"))
     return s.withColumn("loc", F.col("end_line") - F.col("start_line") + 1).orderBy(F.desc("loc"), "path", "start_line", "id").limit(5).select("id", "loc")
 
 
@@ -187,14 +186,19 @@ def embedding_delta(spark, base):
     return table(spark, base, "documents").where("doc_id is not null").select("doc_id").join(have, "doc_id", "left_anti")
 
 
+def _code_hits(spark, base):
+    """Lines of code with a call to parse, each once however many rows a symbol has."""
+    lines = Q.explode_lines(table(spark, base, "symbols").where("id is not null and code is not null"), "id", "code")
+    return Q.keyword_hits(lines, "parse(").dropDuplicates(["id", "line_no"])
+
+
 def _sources(spark, base):
-    s = sym(spark, base, "name", "type", "path", "start_line", "language", "repository_id", "end_line", "updated_at", "code", "file_id", "parent_id")
+    s = sym(spark, base, "name", "type", "path", "start_line", "language", "repository_id", "end_line", "updated_at", "file_id", "parent_id")
     named = Q.symbol_search(s.where(F.startswith(F.lower("name"), F.lit("parse"))), "parse", limit=R.SYMBOL_LIMIT, fuzzy=False).select("id", "score")
     t = V.hash_embedding(s, "id", "name")
     q = V.hash_embedding(spark.createDataFrame([("q", "parse harbor ledger")], "id string, name string"), "id", "name").select("bucket", F.col("value").alias("w"))
     near = t.join(F.broadcast(q), "bucket").groupBy("id").agg(F.sum(F.col("value") * F.col("w")).alias("score")).orderBy(F.desc("score"), "id").limit(25)
-    lines = Q.explode_lines(s.where(F.col("code").isNotNull()), "id", "code")
-    hits = Q.keyword_hits(lines, "parse(").orderBy("id", "line_no").limit(R.KEYWORD_LIMIT).withColumnRenamed("id", "symbol_id")
+    hits = _code_hits(spark, base).orderBy("id", "line_no").limit(R.KEYWORD_LIMIT).withColumnRenamed("id", "symbol_id")
     return s, named, near, R.keyword_signal(hits)
 
 
@@ -214,8 +218,7 @@ def hybrid_retrieve(spark, base):
 @query("keyword_signal", f"""WITH {S}, u AS (SELECT id, string_split(code, chr(10)) AS ls FROM s WHERE code <> ''), n AS (SELECT id, len(list_filter(ls, lambda x: contains(lower(x), 'parse('))) AS n FROM u)
 SELECT id, CAST(least(1.0, 0.34 * n) AS DOUBLE) AS score FROM n WHERE n > 0""")
 def keyword_signal(spark, base):
-    lines = Q.explode_lines(sym(spark, base, "code"), "id", "code")
-    return R.keyword_signal(Q.keyword_hits(lines, "parse(").withColumnRenamed("id", "symbol_id"))
+    return R.keyword_signal(_code_hits(spark, base).withColumnRenamed("id", "symbol_id"))
 
 
 @query("recency_rank", """SELECT id, round((row_number() OVER (ORDER BY coalesce(updated_at, created_at), id) - 1) / (count(*) OVER () - 1), 6) AS recency FROM repositories""")

@@ -6,14 +6,25 @@ from siltstone.operators import graph
 from siltstone.sources.tables import one_per_id, table
 
 
-def sym(spark, base, *cols):
-    """One row per symbol, with an empty parent as null."""
+def sym(spark, base, *cols, where=None):
+    """One row per symbol, with an empty parent as null. Repeated rows agree on
+    all but ``updated_at``, so a condition is applied before they are merged and
+    reaches the scan."""
     df = table(spark, base, "symbols")
+    if where is not None:
+        df = df.where(where)
     if not cols or "parent_id" in cols:
         df = df.withColumn("parent_id", F.when(F.col("parent_id") != "", F.col("parent_id")))
     return one_per_id(df.select("id", *(cols or [c for c in df.columns if c not in ("id", "created_at")])))
 
 
+def per_symbol(spark, base, **columns):
+    """One row per symbol of expressions over its columns, computed where the
+    rows are read: wide columns such as the code are not shuffled."""
+    df = table(spark, base, "symbols")
+    return one_per_id(df.select("id", *[c.alias(n) for n, c in columns.items()]))
+
+
 def fil(spark, base, *cols):
     df = table(spark, base, "files")
     if not cols or "language" in cols:
@@ -28,9 +39,13 @@ def texts(spark, base):
     )
 
 
+def raw_calls(spark, base):
+    """Calls of each symbol; extracted per row, so the code is not shuffled."""
+    return graph.extract_calls(table(spark, base, "symbols").where("id is not null")).distinct()
+
+
 def calls(spark, base):
-    s = sym(spark, base, "repository_id", "name", "type", "code")
-    return graph.resolved_calls(graph.extract_calls(s), s)
+    return graph.resolved_calls(raw_calls(spark, base), sym(spark, base, "repository_id", "name"))
 
 
 S = """s AS (SELECT id, min(repository_id) AS repository_id, min(file_id) AS file_id, min(name) AS name, min(type) AS type,
