@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +75,22 @@ def partitions_for(spark: SparkSession, units: float, per_partition: float) -> i
     """Partitions so that each holds about `per_partition` units; never fewer
     than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(units / per_partition) + 1)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session whose workers would
+    not find it: neither PYTHONPATH nor the working directory leads to it."""
+    root = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    ways = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.applicationId in _shipped or root.parent in [*ways, Path.cwd().resolve()]:
+        return
+    target = Path(tempfile.mkdtemp(prefix="siltstone-")) / "siltstone.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
