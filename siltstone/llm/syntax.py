@@ -270,7 +270,7 @@ def scan(text: str, language: str, state: str = "code", first: bool = True, last
     if last and not closers and not stack:
         if k1 == "p" and p1 not in ("++", "--", "!") and not (ts and p1 in (">", "?")) and p1 != "*":
             bad = True
-        elif k1 == "w" and p1 in _NEED_MORE[language]:
+        elif k1 == "w" and p1 in _NEED_MORE[language] and p2 not in ("as", "."):
             bad = True
         elif language in ("java", "rust") and k1 and p1 not in ("}", ";"):
             bad = True

@@ -133,6 +133,7 @@ def test_credentials_frame(spark):
         ("javascript", "export const f = async (a) => {\n  for (const [k, v] of a) { await k; }\n};\n", False),
         ("javascript", "", False),
         ("typescript", "const x: Map<string, number> = new Map([['a', 1]]);\nprivate_();\ninterface A { b?: string }\nconst y = x as unknown as B[];\n", False),
+        ("typescript", "export const A = { b: 1 } as const\n", False),
         ("typescript", "import logging\nimport os\n", True),
         ("typescript", "<!doctype html>\n<html></html>\n", True),
         ("go", "package a\n\nimport (\n\t\"fmt\"\n)\n\nfunc F() {\n\ts := '{'\n\tfmt.Println(`\n}`, s)\n}\n", False),
