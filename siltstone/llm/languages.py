@@ -26,7 +26,7 @@ from siltstone.llm.kernels import code_points
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 SMOOTHING = 0.5
 DOC_CHARS = 2000
 #: A paragraph of another language needs so many letters, and this lead in nats.
