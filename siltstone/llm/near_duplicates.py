@@ -216,31 +216,38 @@ def similar_classes(
 
 
 def expand_pairs(members: DataFrame, pairs: DataFrame, largest: int = 200) -> DataFrame:
-    """Pairs of records ``id_a, id_b`` (id_a < id_b) from classes and their links.
+    """All pairs of records ``id_a, id_b`` (id_a < id_b) from classes and their links.
 
-    Within a class, and across two linked classes, all pairs are written while
-    the class has at most `largest` members; members of a larger class are
-    paired with its smallest id only, which still links every one of them.
+    Every two members of a class and every two members of linked classes are a
+    pair, whatever the size of the classes. A class of more than `largest`
+    members is split into blocks of about that size and paired block by block,
+    so that no join key gathers a whole class.
     """
-    size = members.groupBy("cls").agg(F.count("*").alias("size"), F.min("id").alias("head"))
-    known = members.join(size, "cls")
-    plural = known.where("size > 1")
-    star = plural.where((F.col("size") > largest) & (F.col("id") != F.col("head"))).select(
-        F.col("head").alias("p"), F.col("id").alias("q")
+    size = members.groupBy("cls").agg(F.ceil(F.count("*") / largest).cast("int").alias("blocks"))
+    known = members.join(size.where("blocks > 1"), "cls", "left").select(
+        "cls", "id", F.coalesce("blocks", F.lit(1)).alias("blocks"),
+        F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int").alias("block"),
     )
-    small = plural.where(F.col("size") <= largest).select("cls", "id")
-    inside = small.alias("x").join(small.alias("y"), "cls").where("x.id < y.id").select(
+    # the pair of blocks (i, j), i <= j, has the members of block i on the left and of block j on the right
+    left = known.select("cls", "id", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = known.select("cls", "id", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    inside = left.alias("x").join(right.alias("y"), ["cls", "i", "j"]).where("x.i < x.j or x.id < y.id").select(
         F.col("x.id").alias("p"), F.col("y.id").alias("q")
     )
-    ends = known.where((F.col("size") <= largest) | (F.col("id") == F.col("head"))).select("cls", "id")
+    split = size.where("blocks > 1")
+    blocks = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    links = (
+        pairs.select("a", "b")
+        .join(split.select(F.col("cls").alias("a"), F.col("blocks").alias("n_a")), "a", "left")
+        .join(split.select(F.col("cls").alias("b"), F.col("blocks").alias("n_b")), "b", "left")
+        .select("a", "b", "n_b", blocks(F.col("n_a")).alias("i")).select("a", "b", "i", blocks(F.col("n_b")).alias("j"))
+    )
     across = (
-        pairs.join(ends.select(F.col("cls").alias("a"), F.col("id").alias("p")), "a")
-        .join(ends.select(F.col("cls").alias("b"), F.col("id").alias("q")), "b")
+        links.join(known.select(F.col("cls").alias("a"), F.col("block").alias("i"), F.col("id").alias("p")), ["a", "i"])
+        .join(known.select(F.col("cls").alias("b"), F.col("block").alias("j"), F.col("id").alias("q")), ["b", "j"])
         .select("p", "q")
     )
-    return star.unionByName(inside).unionByName(across).select(
-        F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")
-    )
+    return inside.unionByName(across).select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
 
 
 def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:

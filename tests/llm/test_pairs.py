@@ -109,6 +109,17 @@ def test_hot_keys_and_large_classes(spark):
     assert groups.select("component").distinct().count() == 1
 
 
+def test_every_pair_of_a_large_class(spark):
+    """More than 200 copies, a text of the same shingle set and a near-copy: no pair is left out."""
+    base = [f"t{i}" for i in range(12)] * 6
+    rows = [(f"c{i:03}", " ".join(base), "p") for i in range(230)]
+    rows += [("r", " ".join(base + base[:12]), "p"), ("q", " ".join(base + ["end"]), "p")]
+    members, pairs = nd.similar_classes(frame(spark, rows), "id", "code", 0.7, min_tokens=60)
+    got = [tuple(r) for r in nd.expand_pairs(members, pairs).collect()]
+    ids = sorted(r[0] for r in rows)
+    assert sorted(got) == [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.text(max_size=200))
 def test_prefix_hash_and_tokens(text):
