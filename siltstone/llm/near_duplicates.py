@@ -1,32 +1,28 @@
 """Near-duplicate records with small edits: a parity-sketch join (problem 5).
 
-Each record's set of five-token shingles is folded into (a) a sketch of parity
-bits, every shingle flipping one bit, whose Hamming distance to another sketch
-never exceeds the symmetric difference of the two sets, and (b) XOR sums of the
-shingle hashes over blocks of the hash space. Two sets of sizes a and b with
-Jaccard similarity s or more differ in at most (1-s)/(1+s)*(a+b) shingles, so
-with more blocks than that at least one block is untouched and its XOR sum
-equal: the pigeonhole join. Records are banded by size so that the number of
-blocks fits the sizes in the band; a record also joins the next band, since a
-partner may be up to 1/s times larger.
-
-Blocks outnumber what a join needs. At the bound itself a block stays untouched
-with probability about 1/e, so joining on the first `blocks` of them misses a
-pair at exactly the threshold with probability (1-1/e)**blocks (20: 1e-4), and
-pairs above it far less often. ``blocks=None`` joins on every block.
+Each record's set of five-token shingles is folded into a sketch of parity bits,
+every shingle flipping one bit, whose Hamming distance to another sketch never
+exceeds the symmetric difference of the two sets. Two sets of sizes a and b with
+Jaccard similarity s or more differ in at most (1-s)/(1+s)*(a+b) shingles.
+
+Candidates come from an exact prefix join: under one fixed order of all shingles,
+two sets of similarity s or more share a shingle among the first
+n - ceil(s*n) + 1 of each. Shingles that a sample of the records holds often
+stand last in that order, the others are ordered by hash; the order decides how
+many candidates there are, never which pairs are found. Where the first common
+shingle stands bounds the overlap, which drops most other candidates at once.
 
 Candidates then pass the Hamming bound and an exact comparison of the sets.
-Records with equal shingle sets are one class: only the class joins. Block keys
-shared by more than `hot` classes (blocks filled by common boilerplate) are
-joined only in twos, as pairs of such keys of one record, so no key ever pairs
-up an unbounded group.
+Records with equal shingle sets are one class: only the class joins. Keys shared
+by more than `hot` classes are joined block by block, so no join key gathers an
+unbounded group, and none is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.kernels import distinct_per_text, mix64, shingle_hashes, token_hashes
@@ -34,16 +30,37 @@ from siltstone.session import Stage
 
 SKETCH_WORDS = 8  # 512 parity bits
 WIDTH = 5
+COMMON = 100_000  # shingles known as common, at most
+SAMPLE_SHARE, SAMPLE_ROWS = 50, 4000  # they are counted in a row of so many, and in so many rows at least
 
 
 def _max_difference(total: np.ndarray, s: float) -> np.ndarray:
     return np.floor((1 - s) / (1 + s) * total + 1e-9)
 
 
-def _sketches(min_tokens: int, s: float, blocks: int | None):
-    step = np.log(1 / s)
+def _shingles(batches):
+    """The distinct shingles of each text."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        _, h = distinct_per_text(*shingle_hashes(*token_hashes(texts), WIDTH))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts holds most often, sorted, and the
+    rank of each, the most frequent last; at most `COMMON` of them."""
+    share = max(1, min(SAMPLE_SHARE, texts.select("id").count() // SAMPLE_ROWS))
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
+    counts = sample.mapInArrow(_shingles, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()
+    h = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], len(h) - order
+
 
+def _sketches(min_tokens: int, s: float, common):
     def run(batches):
+        often, ranks = common.value
         for batch in batches:
             ids = batch.column("id")
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -64,34 +81,22 @@ def _sketches(min_tokens: int, s: float, blocks: int | None):
             bit = (mix64(h ^ np.uint64(0xA5A5)) % np.uint64(SKETCH_WORDS * 64)).astype(np.int64)
             flips = np.bincount(row * (SKETCH_WORDS * 64) + bit, minlength=len(use) * SKETCH_WORDS * 64) & 1
             sketch = np.packbits(flips.astype(np.uint8).reshape(len(use), -1), axis=1)
-            # XOR sums of the blocks, for the record's own band and the next
-            band = np.floor(np.log(n[use]) / step + 1e-9).astype(np.int64)
-            owner, key = [], []
-            for more in (0, 1):
-                b = band + more
-                largest = np.ceil(np.exp((b + 1) * step))
-                count = _max_difference(2 * largest, s).astype(np.int64) + 1
-                blk = (h % count[row].astype(np.uint64)).astype(np.int64)
-                ok = np.ones(len(blk), bool) if blocks is None else blk < blocks
-                r, k, x = row[ok], blk[ok], mix64(h[ok] ^ np.uint64(0x5EED))
-                order = np.lexsort((k, r))
-                r, k, x = r[order], k[order], x[order]
-                if not len(r):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])]))
-                tag = mix64((b[r[first]].astype(np.uint64) << np.uint64(32)) | k[first].astype(np.uint64))
-                owner.append(r[first])
-                key.append(mix64(np.bitwise_xor.reduceat(x, first) ^ tag))
-            owner, key = np.concatenate(owner), np.concatenate(key)
-            order = np.argsort(owner, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(use)))]).astype(np.int32)
+            # the prefix of each set, common shingles last
+            rank = np.zeros(len(h), dtype=np.int64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                rank = np.where(often[at] == h, ranks[at], 0)
+            key = h[np.lexsort((h, rank, row))]
+            prefix = n[use] - np.ceil(s * n[use] - 1e-9).astype(np.int64) + 1
+            key = key[np.arange(len(key)) - start[row] < prefix[row]]
+            ends = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(use)),
                     pa.array(set_hash.view(np.int64)),
                     pa.array(n[use].astype(np.int32)),
                     pa.array([x.tobytes() for x in sketch], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64))),
                 ],
                 names=["id", "cls", "n", "sketch", "keys"],
             )
@@ -143,14 +148,21 @@ def _verify(s: float):
     return run
 
 
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their `block` of `blocks`, once for each pair of blocks (i, j),
+    i <= j, they belong to: on the left those of block i, on the right of j."""
+    left = rows.withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumnRenamed("block", "i")
+    right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), "block"))).withColumnRenamed("block", "j")
+    return left.drop("blocks").alias("x"), right.drop("blocks").alias("y")
+
+
 def similar_classes(
     df: DataFrame,
     id_col: str,
     text_col: str,
     threshold: float,
     min_tokens: int = 0,
-    blocks: int | None = 20,
-    hot: int = 12,
+    hot: int = 1000,
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets and the similar pairs between classes.
 
@@ -163,8 +175,9 @@ def similar_classes(
     spark = df.sparkSession
     stage = Stage(spark, "near")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    common = spark.sparkContext.broadcast(_common(texts))
     made = texts.mapInArrow(
-        _sketches(min_tokens, threshold, blocks), "id string, cls long, n int, sketch binary, keys array<long>"
+        _sketches(min_tokens, threshold, common), "id string, cls long, n int, sketch binary, keys array<long>"
     )
     made = stage.write(made, "sketches")
     members = made.select("id", "cls").distinct()
@@ -174,21 +187,19 @@ def similar_classes(
         ),
         "heads",
     )
-    keys = heads.select("cls", F.explode("keys").alias("key"))
-    groups = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stage.write(keys.join(groups, "key"), "shared")
-    cool = shared.where(F.col("size") <= hot).select("key", "cls")
-    # keys of large groups count only in twos (at most `blocks` keys per record and band)
-    warm = shared.where(F.col("size") > hot).groupBy("cls").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    twos = (
-        warm.select("cls", F.posexplode("keys").alias("at", "key"), "keys")
-        .select("cls", "key", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("key2"))
-        .select(F.xxhash64("key", "key2").alias("key"), "cls")
+    keys = heads.select("cls", "n", F.posexplode("keys").alias("at", "key"))
+    shared = keys.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    shared = stage.write(shared, "shared")
+    blocks = F.ceil(F.col("size") / hot).cast("int")
+    x, y = _sides(
+        shared.select("key", "cls", "n", "at", blocks.alias("blocks"), F.pmod("cls", blocks).cast("int").alias("block"))
     )
-    both = cool.unionByName(twos)
+    # at the first common shingle no more than what follows it can be common
+    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    enough = rest >= threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9
     found = (
-        both.alias("x").join(both.alias("y"), "key").where("x.cls < y.cls")
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+        x.join(y, ["key", "i", "j"]).where("(x.cls < y.cls or i < j)").where(enough)
+        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     )
     side = heads.select("cls", "n", "sketch")
     near = (
@@ -228,12 +239,8 @@ def expand_pairs(members: DataFrame, pairs: DataFrame, largest: int = 200) -> Da
         "cls", "id", F.coalesce("blocks", F.lit(1)).alias("blocks"),
         F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int").alias("block"),
     )
-    # the pair of blocks (i, j), i <= j, has the members of block i on the left and of block j on the right
-    left = known.select("cls", "id", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = known.select("cls", "id", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
-    inside = left.alias("x").join(right.alias("y"), ["cls", "i", "j"]).where("x.i < x.j or x.id < y.id").select(
-        F.col("x.id").alias("p"), F.col("y.id").alias("q")
-    )
+    x, y = _sides(known)
+    inside = x.join(y, ["cls", "i", "j"]).where("i < j or x.id < y.id").select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
     split = size.where("blocks > 1")
     blocks = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
     links = (

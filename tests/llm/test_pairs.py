@@ -120,6 +120,17 @@ def test_every_pair_of_a_large_class(spark):
     assert sorted(got) == [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
 
 
+def test_pairs_whose_shared_keys_are_hot(spark):
+    """Pairs just above the threshold, of texts of which few parts are equal: hot keys alone find them."""
+    rows, want = [], set()
+    for k in (2435, 3384, 3503):
+        t = [f"t{k}x{i}" for i in range(432)]
+        rows += [(f"a{k}", " ".join(t), "p"), (f"b{k}", " ".join(t[:304]), "p")]
+        want.add((f"a{k}", f"b{k}"))
+    members, pairs = nd.similar_classes(frame(spark, rows), "id", "code", 0.7, min_tokens=60, hot=1)
+    assert {tuple(r) for r in nd.expand_pairs(members, pairs).collect()} == want
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.text(max_size=200))
 def test_prefix_hash_and_tokens(text):
