@@ -1,12 +1,12 @@
 """Source files that do not parse (problem 4).
 
-A file is cut at line ends into chunks. A chunk becomes a map from each lexer
-state it may start in (code, or inside a literal or comment that runs over
-lines) to a summary: the state it ends in, the closing brackets it leaves
-unmatched and the opening brackets it leaves open, and whether a local grammar
-found a statement that cannot stand. Summaries of neighbouring chunks combine
-associatively, so chunks of one file may lie in different partitions. What
-balances is judged by the local grammars: which tokens may stand next to each
+A file is scanned whole, in the task that holds its content, whatever its size:
+its lexer state at the end, the brackets left unmatched or open, and whether a
+local grammar found a statement that cannot stand. Chunks of a text can also be
+summarised (`chunk_map`, a summary for each lexer state a chunk may start in)
+and combined associatively, but such summaries know neither the tokens around a
+cut nor the depth of nested comments, so the verdicts do not come from them.
+What balances is judged by the local grammars: which tokens may stand next to each
 other, what an item at the top level may start with, what a file may end with.
 Python and JSON texts that get that far are then read by an exact parser.
 """
@@ -40,6 +40,7 @@ def _tokens(*parts: str) -> re.Pattern:
     return re.compile("|".join(parts), re.M)
 
 
+_NESTED = re.compile(r"/\*|\*/")
 _BLOCK = r"(?P<c>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)|(?P<open_block>/\*)"
 _JS_TOKENS = _tokens(
     _COMMON, _CONFLICT, _BLOCK,
@@ -159,10 +160,10 @@ def scan(text: str, language: str, state: str = "code", first: bool = True, last
             what = kind[5:]
             if what == "block" and language == "rust":  # block comments nest
                 depth = 0
-                for mm in re.finditer(r"/\*|\*/", text[a:]):
+                for mm in _NESTED.finditer(text, a):
                     depth += 1 if mm.group() == "/*" else -1
                     if depth == 0:
-                        at = a + mm.end()
+                        at = mm.end()
                         break
                 else:
                     return "block", "".join(closers), "".join(stack), last
@@ -342,58 +343,33 @@ def chunk_map(text: str, language: str, first: bool, last: bool) -> dict:
     return {s: scan(text, language, s, first, last) for s in states}
 
 
-def syntax_errors(files: DataFrame, contents: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def syntax_errors(files: DataFrame, contents: DataFrame) -> DataFrame:
     """``file_id, repository_id, language, invalid`` for every file with
     contents in a language that is checked (language as its lower-case key).
 
     Files that repeat an id count once; rows with a null id or content, and
     files in other languages or of none, give no row; contents are checked
     whole; a leading byte order mark and any line ends are accepted; empty
-    texts are valid except in Go and JSON; other columns are ignored. Python
-    and JSON are read by an exact parser, which needs the whole text at once,
-    so their files are not cut.
+    texts are valid except in Go and JSON; other columns are ignored.
     """
     one = files.where("id is not null").groupBy(F.col("id").alias("file_id")).agg(
         F.min("repository_id").alias("repository_id"), F.min(F.lower(F.trim("language"))).alias("language")
     ).where(F.col("language").isin(*LANGUAGES))
     both = contents.where("file_id is not null and content is not null").select("file_id", "content").join(one, "file_id")
 
-    def summarise(batches):
-        for batch in batches:
-            rows = {k: [] for k in ("file_id", "repository_id", "language", "seq", "of", "map")}
-            cols = [batch.column(c).to_pylist() for c in ("file_id", "repository_id", "language", "content")]
-            for file_id, repository, language, content in zip(*cols):
-                language = language_key(language)
-                text = content.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-                parts = [text] if language in ("python", "json") else pieces(text, chunk)
-                for i, part in enumerate(parts):
-                    got = chunk_map(part, language, i == 0, i == len(parts) - 1)
-                    for key, value in zip(rows, (file_id, repository, language, i, len(parts), json.dumps(got))):
-                        rows[key].append(value)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema(
-                [("file_id", pa.string()), ("repository_id", pa.string()), ("language", pa.string()), ("seq", pa.int32()), ("of", pa.int32()), ("map", pa.string())]
-            ))
-
-    parts = both.mapInArrow(summarise, "file_id string, repository_id string, language string, seq int, of int, map string")
-    whole = parts.groupBy("file_id", "repository_id", "language").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "map"))).alias("parts")
-    )
-
     def judge(batches):
         for batch in batches:
             invalid = []
-            for row in batch.column("parts").to_pylist():
-                total = json.loads(row[0]["map"])
-                for x in row[1:]:
-                    total = combine(total, json.loads(x["map"]))
-                state, closers, opens, bad = total.get("code", ("", "", "", True))
+            for language, content in zip(batch.column("language").to_pylist(), batch.column("content").to_pylist()):
+                text = content.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+                state, closers, opens, bad = chunk_map(text, language_key(language), True, True)["code"]
                 invalid.append(bad or state != "code" or bool(closers) or bool(opens))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("file_id", "repository_id", "language")] + [pa.array(invalid, pa.bool_())],
                 names=["file_id", "repository_id", "language", "invalid"],
             )
 
-    return whole.mapInArrow(judge, "file_id string, repository_id string, language string, invalid boolean")
+    return both.mapInArrow(judge, "file_id string, repository_id string, language string, invalid boolean")
 
 
 def syntax_rates(checked: DataFrame) -> DataFrame:

@@ -190,6 +190,22 @@ def test_syntax_frame(spark):
     assert sx.syntax_errors(f.drop("file_id").limit(0), c).count() == 0
 
 
+@pytest.mark.parametrize("language, text, bad", [
+    ("java", "class A {\n" + "  int f() { return 1; }\n" * 4000 + "}\n", False),
+    ("java", "class A {\n" + "  int f() { return 1; }\n" * 4000 + "}\nuse std::env;\n", True),
+    ("go", "package a\n\nfunc F() {\n" + "\tg(1)\n" * 12000 + "}\n\nfor x in y {}\n", True),
+    ("rust", "fn f() {\n" + "    g(1);\n" * 8000 + "}\nlet x\n", True),
+    ("rust", "fn f() {}\n/* a /* b\n" + "x (\n" * 20000 + "*/ c */\nfn g() {}\n", False),
+    ("rust", 'fn f() { let s = r##"\n' + '" (\n' * 20000 + '"##; }\n', False),
+    ("javascript", "function f() {\n" + "  g(1);\n" * 9000 + "}\nconst a = 1 +\n", True),
+])
+def test_large_files_are_checked_like_small_ones(spark, language, text, bad):
+    """Above 64 KiB, cut inside a body, a nested comment or a raw string."""
+    f = spark.createDataFrame([("a", "r", language)], "id string, repository_id string, language string")
+    c = spark.createDataFrame([("a", text)], "file_id string, content string")
+    assert len(text) > 1 << 16 and [r.invalid for r in sx.syntax_errors(f, c).collect()] == [bad]
+
+
 FIELDS = "\n".join(f"    public static final int {a}Field = {i};" for i, a in enumerate("abcdefghijkl"))
 
 
