@@ -37,8 +37,10 @@ _BASIC_WORDS = (
 _TRIGGERS = (
     "pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "://", "akia", "asia", "ghp_", "gho_", "ghs_",
     "ghu_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "sk_test_", "xox", "sg.", "aiza", "eyj", "npm_", "pypi-", "hf_", "dop_v1_",
-    "shpat_", "sk-", "ya29.", "mysql", "curl ", "-----begin",
+    "shpat_", "sk-", "ya29.", "mysql", "curl", "-----begin", "creds", "mariadb", "basic", "ghr_", "rk_test_", "xapp-", "sig=", "signature=",
 )
+#: "pat" as a word of a name; the letters alone are in every path.
+_PAT = re.compile(r"(?<![A-Za-z])pat(?![a-z])|Pat(?![a-z])|(?<![A-Z])PAT(?![A-Za-z])")
 _FORMATS = re.compile(
     r"(?<![A-Za-z0-9_])(?:"
     r"(?P<akia>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])|"
@@ -69,9 +71,9 @@ _QUOTED = re.compile(
     + r"""["'`]?\s*\]?\s*(?::[ \t]*&?[^=\n"'`,;(){}]{0,40}=|:=|=>|\?\?=|\|\|=|[:=,]|\(|\.set\()\s*(?:concat!\(\s*|\(\s*)?"""
     + r"(?P<val>"
     + _STRING
-    + r"(?:\s*[+,]?\s*\\?\n?\s*"
+    + r"(?:\s*(?:[+,]\s*)?(?:\\\s*)?"
     + _STRING
-    + r"){0,6})"
+    + r")*)"
 )
 _PART = re.compile(_STRING)
 _BARE = re.compile(_NAME + r"""\s*(?:=|:)\s*(?P<val>[^\s"'`,;<>(){}\[\]$]{5,})""")
@@ -118,10 +120,11 @@ def unexplained(value: str, words: frozenset[str] | set[str], longest: int = 16)
 
 
 def _areas(text: str) -> list[tuple[int, int]]:
-    """The lines that hold a trigger, each with the two lines after it (strings
-    may be joined over lines), as merged ranges."""
+    """The lines that hold a trigger, each with the two lines after it (a value
+    may stand below its name), as merged ranges. Strings joined over more lines
+    are followed beyond the range's end (`_assigned`)."""
     low = text.lower()
-    hits = []
+    hits = [m.start() for m in _PAT.finditer(text)]
     for t in _TRIGGERS:
         at = low.find(t)
         while at >= 0:
@@ -129,9 +132,12 @@ def _areas(text: str) -> list[tuple[int, int]]:
                 hits.append(at)
             at = low.find(t, at + len(t))
     out: list[tuple[int, int]] = []
+    line = -1  # end of the last trigger's line
     for at in sorted(hits):
-        if out and at < out[-1][1] and low.find("\n", at, out[-1][1]) >= 0:
+        if at <= line:
             continue
+        line = text.find("\n", at)
+        line = len(text) if line < 0 else line
         a = text.rfind("\n", 0, at) + 1
         b = at
         for _ in range(3):
@@ -150,6 +156,25 @@ def _words_of(name: str) -> str:
     return " ".join(x.lower() for x in _SPLIT.findall(name))
 
 
+def _assigned(text: str, areas: list[tuple[int, int]]):
+    """(match, parts of the value) of the quoted values that begin in an area,
+    with all the strings that are joined to them, wherever the area ends. Strings
+    in a list after the first are no parts and are searched again."""
+    at = 0
+    for a, b in areas:
+        at = max(at, a)
+        while at < b and (m := _QUOTED.search(text, at, b)):
+            m = _QUOTED.match(text, m.start())
+            parts: list[re.Match] = []
+            listed = "concat!" in text[m.start() : m.start("val")]
+            for p in _PART.finditer(text, m.start("val"), m.end("val")):
+                if parts and not listed and text[parts[-1].end() : p.start()].strip() == ",":
+                    break
+                parts.append(p)
+            yield m, parts
+            at = max(parts[-1].end(), m.start() + 1)
+
+
 def _literal(part: str) -> tuple[int, int]:
     """Offsets of a string literal's content."""
     if part.startswith('r#"'):
@@ -197,16 +222,12 @@ def find_secrets(text: str, language: str, words: set[str]) -> list[tuple[int, i
         g = next(k for k in ("v", "v2", "v3", "v4") if m.group(k))
         if usable(m.group(g), 4) and not m.group(g).startswith(("$", "{", "(", "<", "%")):
             spans.append(m.span(g))
-    for m in scan(_QUOTED):
+    for m, parts in _assigned(text, areas):
         name = _words_of(m.group("name"))
         if not _SECRET_NAME.search(name) or _NO_NAME.search(name):
             continue
-        parts = list(_PART.finditer(text, m.start("val"), m.end("val")))
         joined = []
-        for i, p in enumerate(parts):
-            between = text[parts[i - 1].end() : p.start()].strip() if i else ""
-            if i and between == "," and "concat!" not in m.group():
-                break
+        for p in parts:
             a, b = _literal(p.group())
             joined.append((p.start() + a, p.start() + b))
         value = "".join(text[a:b] for a, b in joined)

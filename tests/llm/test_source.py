@@ -1,5 +1,7 @@
 """Documentation pairs, credentials, origins and syntax: cases and edge cases."""
 
+import re
+
 import pytest
 
 from siltstone.llm import credentials as cr
@@ -106,6 +108,23 @@ def test_joined_and_private_key():
     assert "MZeL" not in out and out.count("\n") == text.count("\n") and out.endswith("rest = 1")
 
 
+def test_joined_over_many_lines_and_rare_names():
+    parts = ["x7Kq", "9vTz", "Lm4R", "w2Yb", "Hd8s", "Jf3N", "pQ6c", "Vg1X", "uE5t", "Za0k"]
+    text = "api_token = (\n" + " +\n".join(f'    "{p}"' for p in parts) + "\n)\nrest = 1\n"
+    out = cr.redact(text, cr.find_secrets(text, "python", WORDS))
+    assert not any(p in out for p in parts) and out.count(cr.MASK) == 10 and out.endswith(")\nrest = 1\n")
+    for text, secret in (
+        ('creds = "x7Kq9vTzLm4R"', "x7Kq9vTzLm4R"),
+        ('GITHUB_PAT = "x7Kq9vTzLm4R"', "x7Kq9vTzLm4R"),
+        ('githubPat = "x7Kq9vTzLm4R"', "x7Kq9vTzLm4R"),
+        ('run("mariadb -u reef -px7Kq9vTzLm4R -h x")', "x7Kq9vTzLm4R"),
+        ('# token\npassword = (\n\n    "x7Kq9vTzLm4R")', "x7Kq9vTzLm4R"),
+    ):
+        assert [text[a:b] for a, b in cr.find_secrets(text, "python", WORDS)] == [secret], text
+    words = re.findall(r"[a-z ]+", cr._SECRET_NAME.pattern.replace(r"\b", " ").replace("?:", ""))
+    assert len(words) > 20 and all(cr._areas(w.strip()) for w in words if w.strip())
+
+
 def test_unexplained_is_viterbi():
     assert cr.unexplained("Harbor-ledger", WORDS) == 0
     assert cr.unexplained("Harbor9446DZ", WORDS) == 6
