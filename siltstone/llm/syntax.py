@@ -8,7 +8,8 @@ and combined associatively, but such summaries know neither the tokens around a
 cut nor the depth of nested comments, so the verdicts do not come from them.
 What balances is judged by the local grammars: which tokens may stand next to each
 other, what an item at the top level may start with, what a file may end with.
-Python and JSON texts that get that far are then read by an exact parser.
+Python and JSON have no lexer states or local grammars here: an exact parser
+reads them instead.
 """
 
 from __future__ import annotations
@@ -304,8 +305,10 @@ def _exact(text: str, language: str) -> bool:
     """True if an exact parser refuses the text."""
     if language == "json":
         try:
-            json.loads(text, parse_constant=_no_constant)
-        except (ValueError, RecursionError):
+            json.loads(text, parse_constant=_no_constant, parse_int=len)
+        except RecursionError:
+            return _deep_json(text)
+        except ValueError:
             return True
         return False
     with warnings.catch_warnings():
@@ -319,6 +322,42 @@ def _exact(text: str, language: str) -> bool:
     return False
 
 
+_JSON = re.compile(
+    r'[ \t\n\r]*(?:(?P<b>[\[\]{},:])|(?P<s>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")'
+    r"|(?P<v>true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?))"
+)
+
+
+def _deep_json(text: str) -> bool:
+    """True if a JSON text of any depth is invalid, without recursion."""
+    stack, at, end = [], 0, len(text.rstrip(" \t\n\r"))
+    want = {"value"}
+    while at < end:
+        m = _JSON.match(text, at)
+        if not m:
+            return True
+        at, tok = m.end(), m.group(m.lastgroup)
+        if tok in ("[", "{") and "value" in want:
+            stack.append(tok)
+            want = {"value", "]"} if tok == "[" else {"key", "}"}
+            continue
+        if m.lastgroup == "s" and "key" in want:
+            want = {":"}
+            continue
+        if tok == ":" and ":" in want:
+            want = {"value"}
+            continue
+        if tok == "," and "," in want:
+            want = {"value"} if stack[-1] == "[" else {"key"}
+            continue
+        if tok in ("]", "}") and tok in want:
+            stack.pop()
+        elif m.lastgroup == "b" or "value" not in want:
+            return True
+        want = {",", "]" if stack[-1] == "[" else "}"} if stack else set()
+    return bool(stack) or bool(want)
+
+
 def _no_constant(name):
     raise ValueError(name)
 

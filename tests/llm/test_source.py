@@ -225,6 +225,19 @@ def test_large_files_are_checked_like_small_ones(spark, language, text, bad):
     assert len(text) > 1 << 16 and [r.invalid for r in sx.syntax_errors(f, c).collect()] == [bad]
 
 
+@pytest.mark.parametrize("text, bad", [
+    ("[" + "1" * 5000 + "]", False),
+    ("[" * 200_000 + "]" * 200_000, False),
+    ('{"a":[1,' * 100_000 + 'null, -1.5e3, "x"' + "]}" * 100_000, False),
+    ("[" * 200_000 + "]" * 199_999, True),
+    ("[" * 200_000 + "1," + "]" * 200_000, True),
+    ('{"a":' * 200_000 + '{"b" 1}' + "}" * 200_000, True),
+    ("[" * 200_000 + "]" * 200_000 + "]", True),
+])
+def test_json_of_any_depth_and_length(text, bad):
+    assert sx.chunk_map(text, "json", True, True)["code"][3] == bad
+
+
 FIELDS = "\n".join(f"    public static final int {a}Field = {i};" for i, a in enumerate("abcdefghijkl"))
 
 
