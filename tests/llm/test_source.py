@@ -172,29 +172,55 @@ def test_credentials_frame(spark):
     ],
 )
 def test_syntax(language, text, bad):
-    m = sx.chunk_map(text, language, True, True)["code"]
-    assert (m[3] or m[0] != "code" or bool(m[1]) or bool(m[2])) == bad
+    assert {sx.invalid(text, language, size) for size in (1, 12, 40, 200, sx.CHUNK)} == {bad}
 
 
 @pytest.mark.parametrize("language, text", [
     ("javascript", "/* a\n b */ function f() {\n  const s = `x\n  {`;\n  return [\n 1,\n 2 ];\n}\n" * 30),
+    ("javascript", "t = `a ${b.map((x) => {\n  return `<${\n x / 2 / y }>`;\n}).join('}')} /* ${c}\n`;\nlet r = a\n/ b / c;\n" * 20),
     ("go", "package a\n" + "func F() {\n\ts := `\n}`\n\t_ = s\n}\n" * 30),
-    ("rust", "fn f() {\n let s = \"a\n }\"; /* /* } */\n */ }\n" * 20),
+    ("rust", "fn f() {\n let s = \"a\n }\"; /* /* } */\n */ let t = r##\"\n\"# {\n\"##; }\n" * 20),
+    ("python", "def f(a, *, b=1):\n    x = f'''a {b!r:>{a\n}} {{\n'''\n    return [\n        y for y in \"\"\"(\n\"\"\" if y\n    ], x\n" * 20),
+    ("json", "[" + '{"a": [\n1, 2],\n"b": {}},\n' * 20 + "3]"),
 ])
 def test_chunks_combine_like_the_whole(language, text):
-    whole = sx.chunk_map(text, language, True, True)["code"]
-    for cut in ("", "}"):
-        t = text + cut
+    for t in (text, text + "}"):
         parts = sx.pieces(t, 40)
-        maps = [sx.chunk_map(p, language, i == 0, i == len(parts) - 1) for i, p in enumerate(parts)]
+        maps = [sx.summary(p, language, i == 0) for i, p in enumerate(parts)]
         left = maps[0]
         for m in maps[1:]:
-            left = sx.combine(left, m)
+            left = sx.combine(left, m, language)
         right = maps[-1]
         for m in reversed(maps[:-1]):
-            right = sx.combine(m, right)
-        verdict = lambda m: m[3] or m[0] != "code" or bool(m[1]) or bool(m[2])
-        assert verdict(left["code"]) == verdict(right["code"]) == (verdict(whole) or bool(cut))
+            right = sx.combine(m, right, language)
+        verdicts = {sx.verdict(left, language), sx.verdict(right, language), sx.invalid(t, language)}
+        assert verdicts == {t != text}
+
+
+@pytest.mark.parametrize("text, bad", [
+    ("match x:\n    case [1, *r] if r:\n        pass\n    case {'a': (1 as b), **k}:\n        pass\n", False),
+    ("x = 1 if a else (yield)\ntry:\n    y\nexcept* A as e:\n    z\nelse:\n    w\n", False),
+    ("@d\nasync def f[T](a, /, b: int = 1, *c, **k) -> int: return await a\n", False),
+    ("lambda *a, k=1: (a, k)\nprint(*a, sep='', **k)\nx[1:2, ::3] = y[:] = z\n", False),
+    ("with (open(a) as f, open(b) as g):\n\tpass\n", False),
+    ("print 'x'\n", True), ("def f(a=1, b): pass\n", True), ("f(a=1, b)\n", True), ("f() = 1\n", True), ("x = 012\n", True),
+    ("if a:\nb\n", True), ("if a:\n    b\n  c\n", True), ("try:\n    a\nb\n", True), ("else:\n    a\n", True), ("@d\nx = 1\n", True),
+    ("x = f'{}'\n", True), ("x = f'{a:{b}}' 'c'\n", False), ("x = '\\x1'\n", True), ("x = 'a' b'c'\n", True), ("x = {1: 2, 3}\n", True),
+    ("class A:\n    x: int = 3;\n    type = 4\n    type X = int\n\nmatch = case = 1\n", False), ("x = \\\n  1\n", False), ("x = 1 \\", True),
+    ("if a:\n\tb\n        c\n", True), ("from . import (a as b, c,)\nfrom x import *\nimport a.b as c\n", False), ("a not b\n", True),
+])
+def test_python_grammar(text, bad):
+    import ast
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(text)
+            exact = False
+        except SyntaxError:
+            exact = True
+    assert bad == exact and {sx.invalid(text, "python", size) for size in (1, 10, sx.CHUNK)} == {bad}
 
 
 def test_syntax_frame(spark):
@@ -222,7 +248,9 @@ def test_large_files_are_checked_like_small_ones(spark, language, text, bad):
     """Above 64 KiB, cut inside a body, a nested comment or a raw string."""
     f = spark.createDataFrame([("a", "r", language)], "id string, repository_id string, language string")
     c = spark.createDataFrame([("a", text)], "file_id string, content string")
-    assert len(text) > 1 << 16 and [r.invalid for r in sx.syntax_errors(f, c).collect()] == [bad]
+    assert len(text) > 1 << 16
+    for chunk in (1000, sx.CHUNK):
+        assert [r.invalid for r in sx.syntax_errors(f, c, chunk).collect()] == [bad]
 
 
 @pytest.mark.parametrize("text, bad", [
@@ -235,7 +263,7 @@ def test_large_files_are_checked_like_small_ones(spark, language, text, bad):
     ("[" * 200_000 + "]" * 200_000 + "]", True),
 ])
 def test_json_of_any_depth_and_length(text, bad):
-    assert sx.chunk_map(text, "json", True, True)["code"][3] == bad
+    assert sx.invalid(text, "json") == bad
 
 
 FIELDS = "\n".join(f"    public static final int {a}Field = {i};" for i, a in enumerate("abcdefghijkl"))
