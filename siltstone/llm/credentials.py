@@ -1,13 +1,14 @@
 """Credentials embedded in source code (problem 6).
 
-Texts that hold no trigger substring are passed over. In the others, candidate
-values are read from assignments, parameters, pairs, comments, URLs, headers
-and commands, with strings joined by ``+`` or ``concat!`` read as one. Each
-value is segmented into dictionary words by Viterbi over its characters: words
-of the code base's own names cost little, every unexplained character costs
-one. What stays unexplained, together with the context the value stands in,
-decides; values in well-known token formats count in any context. Look-ups,
-masks, placeholders, hashes, checksums, ids and public keys do not.
+Each text is lexed once into its literals and comments. Every value in them is
+segmented into dictionary words by Viterbi over its characters: words of the
+code base's own names cost little, every unexplained character costs one.
+Literals and comments whose values are all explained are done with. What stays
+unexplained is judged by the context it stands in: the name it is assigned or
+passed to, the pair, header, URL, command or phrase around it; literals joined
+by ``+``, ``concat!`` or by standing side by side are one value. Values in
+well-known token formats count in any context. Look-ups, masks, placeholders,
+hashes, checksums, ids and public keys do not.
 
 The dictionary is counted by Spark over the names and signatures of all rows;
 the `DICTIONARY_SIZE` most frequent words are sent to the tasks, a fixed bound.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.lexing import SKELETON, language_key, skeleton
+from siltstone.llm.lexing import TEXTS, language_key
 
 DICTIONARY_SIZE = 30_000
 MASK = "REDACTED"
@@ -34,13 +35,6 @@ _BASIC_WORDS = (
     "production staging server client service access private public session cookie csrf header login account email reset hash sha md "
     "utf sql json xml yaml html css true false null none unknown change changeme enter here insert replace placeholder dummy fake mock"
 )
-_TRIGGERS = (
-    "pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "://", "akia", "asia", "ghp_", "gho_", "ghs_",
-    "ghu_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "sk_test_", "xox", "sg.", "aiza", "eyj", "npm_", "pypi-", "hf_", "dop_v1_",
-    "shpat_", "sk-", "ya29.", "mysql", "curl", "-----begin", "creds", "mariadb", "basic", "ghr_", "rk_test_", "xapp-", "sig=", "signature=",
-)
-#: "pat" as a word of a name; the letters alone are in every path.
-_PAT = re.compile(r"(?<![A-Za-z])pat(?![a-z])|Pat(?![a-z])|(?<![A-Z])PAT(?![A-Za-z])")
 _FORMATS = re.compile(
     r"(?<![A-Za-z0-9_])(?:"
     r"(?P<akia>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])|"
@@ -64,18 +58,22 @@ _COMMAND = re.compile(
     r"\b(?:mysql\w*|mariadb)\b[^\n\"'`]*?\s-p(?P<v2>[^\s\"'`-][^\s\"'`]*)|\bcurl\b[^\n]*?\s-u\s*[\"']?[^\s:\"']+:(?P<v3>[^\s\"'`]+)|"
     r"\bsshpass\s+-p\s*[\"']?(?P<v4>[^\s\"'`]+)"
 )
-_STRING = r"""(?:(?:[rRbBuUfF]{0,2})(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|r\#"[^"\n]*"\#)"""
 _NAME = r"(?P<name>[A-Za-z_][\w.-]*)"
-_QUOTED = re.compile(
+#: What stands before a literal that a name is given: an assignment, a pair, a parameter, an argument.
+_GIVEN = re.compile(
     _NAME
-    + r"""["'`]?\s*\]?\s*(?::[ \t]*&?[^=\n"'`,;(){}]{0,40}=|:=|=>|\?\?=|\|\|=|[:=,]|\(|\.set\()\s*(?:concat!\(\s*|\(\s*)?"""
-    + r"(?P<val>"
-    + _STRING
-    + r"(?:\s*(?:[+,]\s*)?(?:\\\s*)?"
-    + _STRING
-    + r")*)"
+    + r"""["'`]?\s*\]?\s*(?::[ \t]*&?[^=\n"'`,;(){}]{0,40}=|:=|=>|\?\?=|\|\|=|[:=,]|\(|\.set\()\s*(?P<list>concat!\(\s*|\(\s*)?\Z"""
+)
+_JOINED = re.compile(r"\s*(?:\+\s*)?(?:\\\s*)?\Z")
+_LISTED = re.compile(r"\s*(?:[+,]\s*)?\Z")
+_BLANK = re.compile(r"\s")
+_VALUE = re.compile(r"[^\s\"'`<>]{5,}")
+#: letters next to digits, capitals within a word, or other characters than a word's
+_MIXED = re.compile(r"[A-Za-z][^A-Za-z\s]*\d|\d[^A-Za-z\s]*[A-Za-z]|[a-z][A-Z]|[A-Za-z][=+/!#@%^&*:]")
+_PHRASE = re.compile(
+    r"\b(?:log-?in|credentials?|password|passwd|passphrase|passcode|secret|token|(?:api|access|signing|private) key)s?\b[^\n]{0,80}?"
+    r"(?:\b(?:is|was|are|were|with|to)|[:=/])\s+[\"'`]?(?P<v>[^\s\"'`]{8,})", re.I
 )
-_PART = re.compile(_STRING)
 _BARE = re.compile(_NAME + r"""\s*(?:=|:)\s*(?P<val>[^\s"'`,;<>(){}\[\]$]{5,})""")
 _SECRET_NAME = re.compile(
     r"\b(?:password|passwords|passwd|pwd|passphrase|passcode|pass|secret|secrets|token|apikey|api key|access key|secret key|private key|"
@@ -119,134 +117,113 @@ def unexplained(value: str, words: frozenset[str] | set[str], longest: int = 16)
     return left[n]
 
 
-def _areas(text: str) -> list[tuple[int, int]]:
-    """The lines that hold a trigger, each with the two lines after it (a value
-    may stand below its name), as merged ranges. Strings joined over more lines
-    are followed beyond the range's end (`_assigned`)."""
-    low = text.lower()
-    hits = [m.start() for m in _PAT.finditer(text)]
-    for t in _TRIGGERS:
-        at = low.find(t)
-        while at >= 0:
-            if t != "key" or not low.startswith("key=lambda", at):
-                hits.append(at)
-            at = low.find(t, at + len(t))
-    out: list[tuple[int, int]] = []
-    line = -1  # end of the last trigger's line
-    for at in sorted(hits):
-        if at <= line:
-            continue
-        line = text.find("\n", at)
-        line = len(text) if line < 0 else line
-        a = text.rfind("\n", 0, at) + 1
-        b = at
-        for _ in range(3):
-            b = text.find("\n", b + 1)
-            if b < 0:
-                b = len(text)
-                break
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+class Residuals:
+    """Unexplained characters of values; the values of a code base repeat."""
 
+    def __init__(self, words, keep: int = 200_000):
+        self.words, self.keep = words, keep
+        self.seen: dict[str, int] = {}
+        self.strange: dict[str, bool] = {}
 
-def _words_of(name: str) -> str:
-    return " ".join(x.lower() for x in _SPLIT.findall(name))
+    def __call__(self, value: str) -> int:
+        got = self.seen.get(value)
+        if got is None:
+            if len(self.seen) >= self.keep:
+                self.seen.clear()
+            got = self.seen[value] = 0 if value.lower() in self.words else unexplained(value, self.words)
+        return got
 
+    def odd(self, value: str) -> bool:
+        """True if a value may hold a secret: more than a word or a number."""
+        got = self.strange.get(value)
+        if got is None:
+            if len(self.strange) >= self.keep:
+                self.strange.clear()
+            r = self(value)
+            got = self.strange[value] = r >= 8 or (r >= 3 and _MIXED.search(value) is not None)
+        return got
 
-def _assigned(text: str, areas: list[tuple[int, int]]):
-    """(match, parts of the value) of the quoted values that begin in an area,
-    with all the strings that are joined to them, wherever the area ends. Strings
-    in a list after the first are no parts and are searched again."""
-    at = 0
-    for a, b in areas:
-        at = max(at, a)
-        while at < b and (m := _QUOTED.search(text, at, b)):
-            m = _QUOTED.match(text, m.start())
-            parts: list[re.Match] = []
-            listed = "concat!" in text[m.start() : m.start("val")]
-            for p in _PART.finditer(text, m.start("val"), m.end("val")):
-                if parts and not listed and text[parts[-1].end() : p.start()].strip() == ",":
-                    break
-                parts.append(p)
-            yield m, parts
-            at = max(parts[-1].end(), m.start() + 1)
+
+def _words_of(name: str) -> str:
+    return " ".join(x.lower() for x in _SPLIT.findall(name))
 
 
 def _literal(part: str) -> tuple[int, int]:
     """Offsets of a string literal's content."""
-    if part.startswith('r#"'):
-        return 3, len(part) - 2
+    if m := re.match(r"(?:b|c)?r#+\"", part):
+        return m.end(), len(part) - m.end() + part.index("r")
     q = min((part.find(c) for c in "\"'`" if c in part), default=0)
-    return q + 1, len(part) - 1
+    width = 3 if part[q : q + 3] in ('\"\"\"', "'''") and len(part) >= q + 6 else 1
+    return q + width, len(part) - width
+
+
+def _segments(text: str, language: str) -> list[tuple[str, int, int]]:
+    """Comments 'c' and literals 's' of a text; of a language without a lexer
+    the whole text, as one comment."""
+    if language not in TEXTS:
+        return [("c", 0, len(text))]
+    return [("s" if m.lastgroup == "h" else m.lastgroup, *m.span()) for m in TEXTS[language].finditer(text) if m.lastgroup != "x"]
 
 
-def find_secrets(text: str, language: str, words: set[str]) -> list[tuple[int, int]]:
+def find_secrets(text: str, language: str, words) -> list[tuple[int, int]]:
     """Spans of the characters that make up secrets, in order, not overlapping."""
-    areas = _areas(text)
-    if not areas:
-        return []
+    residual = words if isinstance(words, Residuals) else Residuals(words)
     spans: list[tuple[int, int]] = []
 
-    def scan(pattern):
-        for a, b in areas:
-            yield from pattern.finditer(text, a, b)
-
     def usable(v: str, least: int) -> bool:
-        return not _NO_VALUE.search(v) and unexplained(v, words) >= least
+        return residual(v) >= least and not _NO_VALUE.search(v)
+
+    def by_name(name: str, value: str, least: int) -> bool:
+        said = _words_of(name)
+        return bool(_SECRET_NAME.search(said)) and not _NO_NAME.search(said) and usable(value, least)
 
     for m in _PEM.finditer(text) if "-----BEGIN" in text else ():
         body = re.sub(r"\\n|[\s\"'`+,\\]|Proc-Type.*|DEK-Info.*", "", m.group("v"))
         if len(body) >= 32 and not re.search(r"\.{3}|\*{3}|<|\$\{|\{\{|(.)\1{7}", body):
             spans.append(m.span("v"))
-    for m in scan(_FORMATS):
-        v = m.group()
-        core = re.sub(r"^[A-Za-z]+[_.-]", "", v)
-        if not re.search(r"(.)\1{5}|EXAMPLE|example|your|XXXX|placeholder", v) and unexplained(core, words) >= 8:
-            spans.append(m.span())
-    for m in scan(_HOOK):
-        if usable(m.group("v"), 12) and re.search(r"\d|[a-z][A-Z]", m.group("v")):
-            spans.append(m.span("v"))
-    for m in scan(_URL_USER):
-        if usable(m.group("v"), 3):
-            spans.append(m.span("v"))
-    for m in scan(_URL_QUERY):
-        if usable(m.group("v"), 8):
-            spans.append(m.span("v"))
-    for m in scan(_HEADER):
-        if usable(m.group("v"), 8) and re.search(r"[0-9A-Z]", m.group("v")):
-            spans.append(m.span("v"))
-    for m in scan(_COMMAND):
-        g = next(k for k in ("v", "v2", "v3", "v4") if m.group(k))
-        if usable(m.group(g), 4) and not m.group(g).startswith(("$", "{", "(", "<", "%")):
-            spans.append(m.span(g))
-    for m, parts in _assigned(text, areas):
-        name = _words_of(m.group("name"))
-        if not _SECRET_NAME.search(name) or _NO_NAME.search(name):
-            continue
-        joined = []
-        for p in parts:
-            a, b = _literal(p.group())
-            joined.append((p.start() + a, p.start() + b))
-        value = "".join(text[a:b] for a, b in joined)
-        if re.search(r"\s", value) or not value:
-            continue
-        if usable(value, 4) and re.search(r"[A-Za-z]", value) and (re.search(r"\d", value) or unexplained(value, words) >= 12):
-            spans.extend(joined)
-    inside = None
-    for m in scan(_BARE):
-        name = _words_of(m.group("name"))
-        if not _SECRET_NAME.search(name) or _NO_NAME.search(name):
-            continue
-        value = m.group("val").rstrip(".,")
-        if not re.search(r"\d", value) or not usable(value, 4 if _PASSWORD_NAME.search(name) else 8):
-            continue
-        if inside is None:
-            inside = [(a, b) for k, a, b in skeleton(text, language) if k in "cs"] if language in SKELETON else [(0, len(text))]
-        if any(a <= m.start() and m.end("val") <= b for a, b in inside):
-            spans.append((m.start("val"), m.start("val") + len(value)))
+    segments = _segments(text, language)
+    # literals that are joined to one value: (its parts, how it is listed)
+    at = 0
+    while at < len(segments):
+        kind, a, b = segments[at]
+        parts = [(a, b)]
+        at += 1
+        if kind == "s":
+            gap = _JOINED
+            if text[a - 1 : a] in "( \n\t" and "concat!" in text[max(0, a - 24) : a]:
+                gap = _LISTED
+            while at < len(segments) and segments[at][0] == "s" and gap.match(text, parts[-1][1], segments[at][1]):
+                parts.append(segments[at][1:])
+                at += 1
+            inner = []
+            for x, y in parts:
+                i, j = _literal(text[x:y])
+                if j > i:
+                    inner.append((x + i, x + j))
+            value = "".join(text[i:j] for i, j in inner)
+            whole = len(parts) > 1 or (value and not _BLANK.search(value))
+            if not (residual.odd(value) if whole else any(map(residual.odd, _VALUE.findall(value)))):
+                continue
+            given = _GIVEN.search(text, max(0, a - 200), a)
+            if given and value and re.search(r"[A-Za-z]", value):
+                digits = re.search(r"\d", value)
+                if not re.search(r"\s", value):
+                    if by_name(given.group("name"), value, 4) and (digits or residual(value) >= 8):
+                        spans.extend(inner)
+                        continue
+                elif (
+                    digits and "\n" not in value and value.count(" ") <= 5 and _PASSWORD_NAME.search(_words_of(given.group("name")))
+                    and by_name(given.group("name"), value, 6)
+                ):
+                    spans.extend(inner)
+                    continue
+            pieces = inner
+        else:
+            pieces = [(a, b)]
+            if not any(map(residual.odd, _VALUE.findall(text[a:b]))):
+                continue
+        for i, j in pieces:
+            spans.extend(_spoken(text, i, j, usable, by_name, residual, kind))
     out: list[tuple[int, int]] = []
     for a, b in sorted(set(spans)):
         if out and a < out[-1][1]:
@@ -256,6 +233,39 @@ def find_secrets(text: str, language: str, words: set[str]) -> list[tuple[int, i
     return out
 
 
+def _spoken(text: str, a: int, b: int, usable, by_name, residual, kind: str):
+    """Secrets within the text of one literal or comment."""
+    for m in _FORMATS.finditer(text, a, b):
+        core = re.sub(r"^[A-Za-z]+[_.-]", "", m.group())
+        if not re.search(r"(.)\1{5}|EXAMPLE|example|your|XXXX|placeholder", m.group()) and residual(core) >= 8:
+            yield m.span()
+    for m in _HOOK.finditer(text, a, b):
+        if usable(m.group("v"), 12) and re.search(r"\d|[a-z][A-Z]", m.group("v")):
+            yield m.span("v")
+    for m in _URL_USER.finditer(text, a, b):
+        if usable(m.group("v"), 3):
+            yield m.span("v")
+    for m in _URL_QUERY.finditer(text, a, b):
+        if usable(m.group("v"), 8):
+            yield m.span("v")
+    for m in _HEADER.finditer(text, a, b):
+        if usable(m.group("v"), 8) and re.search(r"[0-9A-Z]", m.group("v")):
+            yield m.span("v")
+    for m in _COMMAND.finditer(text, a, b):
+        g = next(k for k in ("v", "v2", "v3", "v4") if m.group(k))
+        if usable(m.group(g), 4) and not m.group(g).startswith(("$", "{", "(", "<", "%")):
+            yield m.span(g)
+    for m in _BARE.finditer(text, a, b):
+        value = m.group("val").rstrip(".,")
+        if (re.search(r"\d", value) or residual(value) >= 8) and by_name(m.group("name"), value, 4 if _PASSWORD_NAME.search(_words_of(m.group("name"))) else 8):
+            yield m.start("val"), m.start("val") + len(value)
+    if kind == "c":
+        for m in _PHRASE.finditer(text, a, b):
+            value = m.group("v").rstrip(".,;")
+            if re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and not _HASH_LIKE.match(value) and usable(value, 4) and "(" not in value:
+                yield m.start("v"), m.start("v") + len(value)
+
+
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
     """The text with each span's characters replaced; the line structure of a
     span that runs over lines is kept, everything else is unchanged."""
@@ -288,14 +298,14 @@ def credentials(df: DataFrame) -> DataFrame:
 
     `df` has the columns id, name, language, code and signature; others are
     ignored. Repeated ids count once. A null code or signature is left null and
-    holds no secret, a null language is read as plain text, a null id is left
-    out; texts are read whole.
+    holds no secret, a null or unknown language is read as plain text, a null id
+    is left out; texts are read whole.
     """
     spark = df.sparkSession
     known = spark.sparkContext.broadcast(name_dictionary(df))
 
     def run(batches):
-        words = known.value
+        words = Residuals(known.value)
         for batch in batches:
             keep, count, code, sign = [], [], [], []
             cols = [batch.column(c).to_pylist() for c in ("code", "signature", "language")]

@@ -29,6 +29,17 @@ _SKELETON = {
 _SKELETON["typescript"] = _SKELETON["javascript"]
 SKELETON = {k: re.compile(v, re.S) for k, v in _SKELETON.items()}
 REGEX_LITERAL = re.compile(_REGEX)
+_JS_BEFORE = r"(?:[=(,:;!&|?{}\[+<>\n]|\b(?:return|typeof|case|in|of|do|else|await|yield))\s*"
+_TEXTS = {
+    "python": r"(?P<c>\#[^\n]*)|(?P<s>(?:\b[rRbBuUfF]{1,2})?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|" + rf"{_DQ}|{_SQ}))",
+    "javascript": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>{_DQ}|{_SQ}|`(?:[^`\\]|\\.)*`)|{_JS_BEFORE}(?P<x>{_REGEX})",
+    "go": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>{_DQ}|`[^`]*`|{_SQ})",
+    "java": rf'(?P<c>{_LINE}|{_BLOCK})|(?P<s>"""(?:[^\\]|\\.)*?"""|{_DQ}|{_SQ})',
+    "rust": rf"""(?P<c>{_LINE}|{_BLOCK})|(?P<s>\bb?r(?P<h>\#*)".*?"(?P=h)|"(?:[^"\\]|\\.)*"|'(?:[^'\\\n]|\\[^\n]{{1,9}}?)')""",
+}
+_TEXTS["typescript"] = _TEXTS["javascript"]
+#: comments 'c' and literals 's' only; regular expressions 'x' are passed over
+TEXTS = {k: re.compile(v, re.S) for k, v in _TEXTS.items()}
 #: after these words a slash starts a regular expression
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield"}
 

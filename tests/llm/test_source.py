@@ -121,8 +121,23 @@ def test_joined_over_many_lines_and_rare_names():
         ('# token\npassword = (\n\n    "x7Kq9vTzLm4R")', "x7Kq9vTzLm4R"),
     ):
         assert [text[a:b] for a, b in cr.find_secrets(text, "python", WORDS)] == [secret], text
-    words = re.findall(r"[a-z ]+", cr._SECRET_NAME.pattern.replace(r"\b", " ").replace("?:", ""))
-    assert len(words) > 20 and all(cr._areas(w.strip()) for w in words if w.strip())
+    for name in ("creds", "auth", "master_key", "passcode", "webhookSecret"):  # no list of triggers stands before the segmentation
+        text = f'x = 1\n{name} = "x7Kq9vTzLm4R"\n'
+        assert [text[a:b] for a, b in cr.find_secrets(text, "python", WORDS)] == ["x7Kq9vTzLm4R"], name
+
+
+@pytest.mark.parametrize("language, text, secret", [
+    ("java", 'Map<String, String> a = Map.of("host", "harbor.example.org", "secret_key", "PnBfL7MsTYg33EOI0Fgnsp61");', "PnBfL7MsTYg33EOI0Fgnsp61"),
+    ("python", "# old login was ledger / cEF8Jyybid=ih until the move", "cEF8Jyybid=ih"),
+    ("rust", 'let h = "user id=harbor;pwd=mqhRZkIHf+OC;database=ledger";', "mqhRZkIHf+OC"),
+    ("python", 'db_password = "harbor x7Kq9 ledger 41zz"', "harbor x7Kq9 ledger 41zz"),
+    ("python", 'message = "password harbor 41zz7Kq9 is not valid"', None),
+    ("javascript", "const a = b / c; const re = /pass=x7Kq9vTzLm4R/; const t = `${d}`;", None),
+    ("go", 'm := map[string]string{"host": "harbor", "token": "8tHxmb3MQPgKE77rHy63W2c99"}', "8tHxmb3MQPgKE77rHy63W2c99"),
+    ("cobol", "api_key: 8tHxmb3MQPgKE77rHy63W2c99", "8tHxmb3MQPgKE77rHy63W2c99"),
+])
+def test_credentials_by_context(language, text, secret):
+    assert [text[a:b] for a, b in cr.find_secrets(text, language, WORDS)] == ([secret] if secret else [])
 
 
 def test_unexplained_is_viterbi():
