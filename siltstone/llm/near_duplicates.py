@@ -5,16 +5,21 @@ every shingle flipping one bit, whose Hamming distance to another sketch never
 exceeds the symmetric difference of the two sets. Two sets of sizes a and b with
 Jaccard similarity s or more differ in at most (1-s)/(1+s)*(a+b) shingles.
 
-Candidates come from an exact prefix join: under one fixed order of all shingles,
-two sets of similarity s or more share a shingle among the first
+Candidates come from an exact prefix join, not from a pigeonhole join of sketch
+blocks: that needs one block more than the sets may differ in, blocks of two or
+three shingles, and blocks of common idioms pair up unrelated records by the
+square of the data (figures in the README). Under one fixed order of all
+shingles, two sets of similarity s or more share a shingle among the first
 n - ceil(s*n) + 1 of each. Shingles that a sample of the records holds often
 stand last in that order, the others are ordered by hash; the order decides how
 many candidates there are, never which pairs are found. Where the first common
 shingle stands bounds the overlap, which drops most other candidates at once.
 
-Candidates then pass the Hamming bound and an exact comparison of the sets.
-Records with equal shingle sets are one class: only the class joins. Keys shared
-by more than `hot` classes are joined block by block, so no join key gathers an
+Keys travel in packed blobs, partitioned by key: six bytes of each key, its
+place, and its record once for all keys in a blob. Candidates then pass the
+Hamming bound and an exact comparison of the sets. Records with equal shingle
+sets are one class: only the class joins. Keys shared by more than `hot` classes
+leave the packed join and are joined block by block, so no join key gathers an
 unbounded group, and none is left out.
 """
 
@@ -26,11 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.kernels import distinct_per_text, mix64, shingle_hashes, token_hashes
-from siltstone.session import Stage
+from siltstone.session import Stage, partitions_for
 
 SKETCH_WORDS = 8  # 512 parity bits
 WIDTH = 5
 COMMON = 100_000  # shingles known as common, at most
+KEYS_PER_PARTITION = 1_500_000
+PAIRS_AT_ONCE = 2_000_000  # held in a task before they are passed on
 SAMPLE_SHARE, SAMPLE_ROWS = 50, 4000  # they are counted in a row of so many, and in so many rows at least
 
 
@@ -89,14 +96,14 @@ def _sketches(min_tokens: int, s: float, common):
             key = h[np.lexsort((h, rank, row))]
             prefix = n[use] - np.ceil(s * n[use] - 1e-9).astype(np.int64) + 1
             key = key[np.arange(len(key)) - start[row] < prefix[row]]
-            ends = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(prefix)])
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(use)),
                     pa.array(set_hash.view(np.int64)),
                     pa.array(n[use].astype(np.int32)),
                     pa.array([x.tobytes() for x in sketch], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64))),
+                    pa.array([key[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
                 ],
                 names=["id", "cls", "n", "sketch", "keys"],
             )
@@ -104,6 +111,114 @@ def _sketches(min_tokens: int, s: float, common):
     return run
 
 
+def _deal(parts: int):
+    """Prefix keys packed by the partition of their key: the low six bytes of
+    each key, its place in the set's order, and for each record once its class,
+    size and number of keys there. Places take two bytes where they can."""
+
+    def run(batches):
+        for batch in batches:
+            cls, first = np.unique(batch.column("cls").to_numpy(), return_index=True)  # copies come once
+            n = batch.column("n").to_numpy()[first]
+            blobs = batch.column("keys").take(pa.array(first)).to_pylist()
+            length = np.fromiter((len(x) // 8 for x in blobs), dtype=np.int64, count=len(blobs))
+            key = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+            if not len(key):
+                continue
+            owner = np.repeat(np.arange(len(cls)), length)
+            at = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
+            part = ((key >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((at, owner, part))
+            key, owner, at, part = key[order], owner[order], at[order], part[order]
+            small = np.uint16 if n.max() < 1 << 16 else np.uint32
+            run_at = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
+            run_n = np.diff(np.concatenate([run_at, [len(key)]]))
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            edge = np.concatenate([cut, [len(key)]])
+            run_edge = np.searchsorted(run_at, edge)
+            keys, places, runs = [], [], []
+            for i in range(len(cut)):
+                a, b, x, y = edge[i], edge[i + 1], run_edge[i], run_edge[i + 1]
+                keys.append(np.ascontiguousarray(key[a:b].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+                places.append(at[a:b].astype(small).tobytes())
+                who = owner[run_at[x:y]]
+                runs.append(cls[who].tobytes() + n[who].astype(small).tobytes() + run_n[x:y].astype(small).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part[cut].astype(np.int32)), pa.array([small is np.uint32] * len(cut)),
+                    pa.array(keys, pa.binary()), pa.array(places, pa.binary()), pa.array(runs, pa.binary()),
+                ],
+                names=["part", "wide", "keys", "places", "runs"],
+            )
+
+    return run
+
+
+def _match(s: float, hot: int):
+    """Candidate pairs of the classes that share a key of this partition, and
+    the entries of keys that more than `hot` classes share, to be joined elsewhere:
+    rows ``pair, a, b, n, at`` with the classes of a pair, or a key and its class."""
+
+    def rows(pair, a, b, n=None, at=None):
+        zero = np.zeros(len(a), dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(a), pair)), pa.array(a), pa.array(b),
+                pa.array(zero if n is None else n.astype(np.int32)), pa.array(zero if at is None else at.astype(np.int32)),
+            ],
+            names=["pair", "a", "b", "n", "at"],
+        )
+
+    def run(batches):
+        keys, classes, sizes, places = [], [], [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                small = np.uint32 if batch.column("wide")[i].as_py() else np.uint16
+                packed = np.frombuffer(batch.column("keys")[i].as_py(), dtype=np.uint8).reshape(-1, 6)
+                key = np.zeros((len(packed), 8), dtype=np.uint8)
+                key[:, :6] = packed
+                keys.append(key.view(np.int64).ravel())
+                places.append(np.frombuffer(batch.column("places")[i].as_py(), dtype=small).astype(np.int64))
+                data = batch.column("runs")[i].as_py()
+                m = len(data) // (8 + 2 * small().nbytes)
+                count = np.frombuffer(data, dtype=small, offset=8 * m + small().nbytes * m)
+                classes.append(np.repeat(np.frombuffer(data, dtype=np.int64, count=m), count))
+                sizes.append(np.repeat(np.frombuffer(data, dtype=small, offset=8 * m, count=m).astype(np.int64), count))
+        if not keys:
+            return
+        key, cls, n, at = (np.concatenate(x) for x in (keys, classes, sizes, places))
+        order = np.lexsort((cls, key))
+        key, cls, n, at = key[order], cls[order], n[order], at[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])  # copies in several tasks
+        key, cls, n, at = key[new], cls[new], n[new], at[new]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([start, [len(key)]]))
+        end = np.repeat(start + size, size)
+        many = np.repeat(size > hot, size)
+        if many.any():
+            yield rows(False, key[many], cls[many], n[many], at[many])
+        left = np.flatnonzero(np.repeat((size > 1) & (size <= hot), size))
+        found, held = [], 0
+        step = 1
+        while len(left):
+            left = left[left + step < end[left]]
+            x, y = left, left + step
+            step += 1
+            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            # at the first common shingle no more than what follows it can be common
+            rest = np.minimum(n[x] - at[x], n[y] - at[y])
+            ok = (small >= s * large - 1e-9) & (rest >= s / (1 + s) * (small + large) - 1e-9)
+            found.append(np.stack([cls[x[ok]], cls[y[ok]]], axis=1))
+            held += len(found[-1])
+            if held and (held > PAIRS_AT_ONCE or not len(left)):
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield rows(True, pairs[:, 0], pairs[:, 1])
+                found, held = [], 0
+
+    return run
+
+
 def _near(s: float):
     """Keeps the pairs whose sketches allow the similarity."""
 
@@ -177,30 +292,28 @@ def similar_classes(
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     common = spark.sparkContext.broadcast(_common(texts))
     made = texts.mapInArrow(
-        _sketches(min_tokens, threshold, common), "id string, cls long, n int, sketch binary, keys array<long>"
+        _sketches(min_tokens, threshold, common), "id string, cls long, n int, sketch binary, keys binary"
     )
     made = stage.write(made, "sketches")
-    members = made.select("id", "cls").distinct()
-    heads = stage.write(
-        made.groupBy("cls").agg(
-            F.min("id").alias("head"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
-        ),
-        "heads",
-    )
-    keys = heads.select("cls", "n", F.posexplode("keys").alias("at", "key"))
-    shared = keys.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
-    shared = stage.write(shared, "shared")
-    blocks = F.ceil(F.col("size") / hot).cast("int")
-    x, y = _sides(
-        shared.select("key", "cls", "n", "at", blocks.alias("blocks"), F.pmod("cls", blocks).cast("int").alias("block"))
-    )
-    # at the first common shingle no more than what follows it can be common
+    members = stage.write(made.select("id", "cls").distinct(), "members")
+    heads = made.groupBy("cls").agg(F.min("id").alias("head"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    heads = stage.write(heads, "heads")
+    total = made.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    parts = partitions_for(spark, total / 8, KEYS_PER_PARTITION)
+    dealt = made.select("cls", "n", "keys").mapInArrow(_deal(parts), "part int, wide boolean, keys binary, places binary, runs binary")
+    matched = dealt.repartitionById(parts, "part").mapInArrow(_match(threshold, hot), "pair boolean, a long, b long, n int, at int")
+    matched = stage.write(matched, "matched")
+    stage.drop("sketches")
+    shared = matched.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("cls"), "n", "at")
+    shared = shared.join(shared.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks")), "key")
+    x, y = _sides(shared.withColumn("block", F.pmod("cls", F.col("blocks")).cast("int")))
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     enough = rest >= threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9
-    found = (
+    by_block = (
         x.join(y, ["key", "i", "j"]).where("(x.cls < y.cls or i < j)").where(enough)
-        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
     )
+    found = matched.where("pair").select("a", "b").union(by_block).distinct()
     side = heads.select("cls", "n", "sketch")
     near = (
         found.join(side.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
@@ -222,7 +335,8 @@ def similar_classes(
     pairs = stage.write(pairs, "pairs")
     stage.drop("near")
     stage.drop("texts")
-    stage.drop("shared")
+    stage.drop("matched")
+    stage.drop("heads")
     return members, pairs
 
 
