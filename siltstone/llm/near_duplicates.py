@@ -35,10 +35,10 @@ from siltstone.session import Stage, partitions_for
 
 SKETCH_WORDS = 8  # 512 parity bits
 WIDTH = 5
-COMMON = 100_000  # shingles known as common, at most
+COMMON = 400_000  # shingles known as common, at most
 KEYS_PER_PARTITION = 1_500_000
 PAIRS_AT_ONCE = 2_000_000  # held in a task before they are passed on
-SAMPLE_SHARE, SAMPLE_ROWS = 50, 4000  # they are counted in a row of so many, and in so many rows at least
+SAMPLE_SHARE, SAMPLE_ROWS = 10, 200_000  # common shingles are counted in a row of so many; beyond so many rows in fewer
 
 
 def _max_difference(total: np.ndarray, s: float) -> np.ndarray:
@@ -46,21 +46,23 @@ def _max_difference(total: np.ndarray, s: float) -> np.ndarray:
 
 
 def _shingles(batches):
-    """The distinct shingles of each text."""
+    """Shingles that several texts of a batch hold, and how many do."""
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         _, h = distinct_per_text(*shingle_hashes(*token_hashes(texts), WIDTH))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+        h, n = np.unique(h, return_counts=True)
+        h, n = h[n > 1], n[n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of the texts holds most often, sorted, and the
     rank of each, the most frequent last; at most `COMMON` of them."""
-    share = max(1, min(SAMPLE_SHARE, texts.select("id").count() // SAMPLE_ROWS))
+    share = max(SAMPLE_SHARE, texts.select("id").count() // SAMPLE_ROWS)
     sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
-    counts = sample.mapInArrow(_shingles, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()
-    h = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64)
+    counts = sample.mapInArrow(_shingles, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toPandas()
+    h = top["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], len(h) - order
 
