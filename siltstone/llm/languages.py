@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.kernels import code_points
+from siltstone.session import Stage
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
@@ -40,6 +41,7 @@ _PREFIX = re.compile(r"^\s*(?:[-*+•]\s+|\d+[.)]\s+)?(?:(?i:feat|fix|docs|chore
 _QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]|「[^」\n]*」|『[^』\n]*』")
 #: A word that is a path, a number, an identifier or a file name.
 _NO_WORD = re.compile(r"[/\\_0-9]|\(\)|[a-z][A-Z]|\w\.(?:py|js|ts|tsx|go|rs|java|md|json)\b")
+_PARAGRAPH = re.compile(r"\n[ \t]*\n")
 _ASCII = re.compile(r"[!-~]+")
 _NOT_LETTERS = re.compile(r"[^\w']+|[\d_]+| +")
 _FOLD = str.maketrans(
@@ -48,17 +50,34 @@ _FOLD = str.maketrans(
 )
 
 
+_words: dict[str, str] = {}
+_WORDS_KEPT = 200_000  # per process
+
+
+def _word(w: str) -> str:
+    """A word folded to its letters; a path, number or identifier gives what is
+    not ASCII in it."""
+    got = _words.get(w)
+    if got is None:
+        if len(_words) >= _WORDS_KEPT:
+            _words.clear()
+        prose = w if not _NO_WORD.search(w) else "" if w.isascii() else _ASCII.sub(" ", w)
+        got = _words[w] = _NOT_LETTERS.sub(" ", prose.lower().translate(_FOLD)).strip()
+    return got
+
+
 def paragraphs(text: str) -> list[str]:
     """The prose of a text by paragraph, folded; paragraphs without letters are left out."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    text = _UNDERLINE.sub("", _FENCE.sub("\n", text))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    if "===" in text or "---" in text:
+        text = _UNDERLINE.sub("", text)
     out = []
-    for block in re.split(r"\n[ \t]*\n", text):
-        lines = [_PREFIX.sub("", x) for x in block.split("\n") if not _DROP_LINE.match(x)]
-        words = _QUOTED.sub(" ", " ".join(lines)).split()
-        words = [w if not _NO_WORD.search(w) else "" if w.isascii() else _ASCII.sub(" ", w) for w in words]
-        prose = " ".join(words).lower().translate(_FOLD)
-        prose = _NOT_LETTERS.sub(" ", prose).strip()
+    for block in _PARAGRAPH.split(text):
+        lines = [_PREFIX.sub("", x, 1) for x in block.split("\n") if not _DROP_LINE.match(x)]
+        prose = " ".join(" ".join(map(_word, _QUOTED.sub(" ", " ".join(lines)).split())).split())
         if len(prose) > 1:
             out.append(prose)
     return out
@@ -144,15 +163,17 @@ def _counts(languages: list[str], logp):
     return run
 
 
-def fit(labelled: DataFrame, languages: list[str], rows: int = FIT_ROWS) -> np.ndarray:
-    """The log-probability matrix from `labelled` (doc_id, text, label_code)."""
+def fit(labelled: DataFrame, languages: list[str], rows: int = FIT_ROWS, total: int | None = None) -> np.ndarray:
+    """The log-probability matrix from `labelled` (doc_id, text, label_code), of
+    which there are `total`; both passes read the sample as it was written once."""
     spark = labelled.sparkSession
-    share = rows / max(labelled.count(), 1)
+    stage = Stage(spark, "languages")
+    share = rows / max(labelled.count() if total is None else total, 1)
     sample = labelled if share >= 1 else labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = sample.repartition(8)
+    sample = stage.write(sample.dropDuplicates(["doc_id"]).repartition(8), "sample")
 
     def matrix(logp):
-        got = sample.mapInArrow(_counts(languages, logp), "lang int, counts binary").collect()  # 8 tasks x languages rows
+        got = sample.mapInArrow(_counts(languages, logp), "lang int, counts binary").collect()  # a row per task and language
         total = np.zeros((len(languages), BUCKETS))
         for r in got:
             total[r.lang] += np.frombuffer(r.counts, dtype=np.float32)
@@ -160,7 +181,9 @@ def fit(labelled: DataFrame, languages: list[str], rows: int = FIT_ROWS) -> np.n
         return np.log(total / total.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
 
     logp = matrix(None)
-    return matrix(spark.sparkContext.broadcast(logp))
+    logp = matrix(spark.sparkContext.broadcast(logp))
+    stage.drop()
+    return logp
 
 
 def identify(docs: DataFrame, codes: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -178,12 +201,13 @@ def identify(docs: DataFrame, codes: DataFrame, rows: int = FIT_ROWS) -> DataFra
     languages = sorted(r.code for r in codes.select("code").distinct().collect() if r.code)  # the fixed list
     known = canonical_labels(
         docs.where("doc_id is not null and text is not null").select("doc_id", "text", "lang"), "lang", codes
-    ).dropDuplicates(["doc_id"])
+    )
     labelled = known.where("label_code is not null")
     out = "doc_id long, label_code string, lang string, confidence double, segments array<struct<seq:int,lang:string,confidence:double,n_chars:int>>"
-    if labelled.isEmpty():
+    total = labelled.count()
+    if not total:
         return spark.createDataFrame([], out)
-    model = spark.sparkContext.broadcast(fit(labelled, languages, rows))
+    model = spark.sparkContext.broadcast(fit(labelled, languages, rows, total))
 
     def run(batches):
         kind = pa.list_(pa.struct([("seq", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_chars", pa.int32())]))
@@ -226,7 +250,8 @@ def identify(docs: DataFrame, codes: DataFrame, rows: int = FIT_ROWS) -> DataFra
                 names=["doc_id", "label_code", "lang", "confidence", "segments"],
             )
 
-    return known.select("doc_id", "label_code", "text").mapInArrow(run, out)
+    # texts are not shuffled: ids that repeat lose their second row after scoring
+    return known.select("doc_id", "label_code", "text").mapInArrow(run, out).dropDuplicates(["doc_id"])
 
 
 def repaired_labels(found: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Generated, minified or vendored source files (problem 1).
 
-Each file is lexed into comments, literals, names and punctuation. From the
-tokens its canonical layout is re-emitted (a line per statement and brace) and
-compared with the original: a file whose canonical form has many times its
-lines is minified; one whose lines repeat a single shape throughout, in sorted
-order, is the output of a tool; one that consists of literals is dumped data.
-Headers that name a generator, lock file names and forms, and the reference
-list of third-party files (by content hash, or by file name) add the rest.
+Each file is lexed into comments, literals, names and punctuation, and its
+canonical layout is emitted from them: a line per statement and brace, indented
+by depth, with single blanks. Compared with that, the original layout tells: a
+file of which hardly a line stands as the canonical form has it, and which grows
+by several times when laid out, is minified; one whose canonical lines repeat a
+single shape throughout, in sorted order, is the output of a tool; one that
+consists of literals is dumped data. Generator headers in the comments before the
+code, lock file names and forms, and the reference list of third-party files (by
+content hash, or by file name) add the rest.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ CODE = ("python", "javascript", "typescript", "go", "java", "rust", "css", "c",
 
 #: Limits of the layout comparison.
 EXPANSION = 6.0  # canonical lines per original line
+WRAPPED_EXPANSION = 2.0  # where lines are wrapped and none of them is canonical
+KEPT_SHARE = 0.1  # of the original lines are canonical in a minified file, at most
 LINE_CHARS = 160  # characters per line of a minified file, at least
+WRAPPED_CHARS = 60
 LITERAL_SHARE = 0.7  # of the characters that are not white space
 DATA_CHARS = 1200  # a smaller literal table may be written by hand
 UNIFORM_SHARE = 0.7  # of the lines have one shape
@@ -56,7 +61,59 @@ _TOKEN = {
 }
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)\w{0,3}")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
-_STATEMENT = re.compile(r"[;{}]")
+_EDGE = re.compile(r"([;{}\n])")
+_SHORT = re.compile(r"(?<=[:,=\[(\s])\{([^{};\n=()]{0,60})\}")
+_BRACES = {1: "{", 2: "}"}
+#: A line that goes on: it ends in an operator or an open bracket.
+_GOES_ON = re.compile(r"[=+\-*/%&|^<>?:.(\[\\]$")
+
+
+def canonical(bare: str, language: str) -> list[str]:
+    """The canonical lines of a text whose comments are gone and whose literals
+    are folded: one per statement and brace, indented by depth. A short group in
+    braces that is a value of names and literals stays on its line."""
+    bare = _SHORT.sub("\x01\\1\x02", bare)
+    out: list[str] = []
+    python = language in ("python", "yaml")
+    depth = held = 0  # braces; round and square brackets that are open
+    line = ""
+    for piece in _EDGE.split(bare):
+        if piece in (";", "{", "}", "\n"):
+            if held > 0 or (python and piece in "{}"):
+                if piece != "\n":
+                    line += piece
+                    held += (piece == "{") - (piece == "}") if python else 0
+                continue
+            text = " ".join(line.split())
+            if piece == "\n":
+                if not text or (not python and _GOES_ON.search(text)):
+                    continue
+                out.append("    " * depth + text)
+            elif piece == ";":
+                if not text and out and out[-1][-1:] == "}":
+                    out[-1] += ";"
+                    line = ""
+                    continue
+                out.append("    " * depth + text + ";")
+            elif piece == "{":
+                out.append("    " * depth + (text + " {" if text else "{"))
+                depth += 1
+            else:
+                if text:
+                    out.append("    " * depth + text)
+                depth = max(depth - 1, 0)
+                out.append("    " * depth + "}")
+            line = ""
+        elif piece:
+            line += piece if not line or line[-1] in "{}" else " " + piece
+            held += piece.count("(") - piece.count(")")
+            if python:
+                held += piece.count("[") - piece.count("]")
+            held = max(held, 0)
+    text = " ".join(line.split())
+    if text:
+        out.append("    " * depth + text)
+    return "\n".join(out).translate(_BRACES).split("\n") if out else out
 
 
 def layout(text: str, language: str) -> dict:
@@ -74,20 +131,21 @@ def layout(text: str, language: str) -> dict:
 
     bare = _TOKEN["#" if language in ("python", "yaml") else "/"].sub(fold, text)
     lines = sum(1 for x in text.split("\n") if x.strip())
-    canonical = max(lines, len(_STATEMENT.findall(bare))) if language != "python" else max(lines, bare.count(";"))
+    laid = [x.strip() for x in canonical(bare, language)]
+    rest = [x for x in (" ".join(y.split()) for y in bare.split("\n")) if x]
+    known = set(laid)
+    kept = sum(x in known for x in rest) / max(len(rest), 1)
     ink = sum(map(len, text.split())) - comment
-    rest = [x.strip() for x in bare.split("\n")]
-    rest = [x for x in rest if x]
     numbers = sum(map(len, _NUMBER.findall(bare))) if literal * 2 < ink else 0
     # punctuation between literals belongs to the table they form
-    commas = bare.count(",") + bare.count('""') * 0
-    shapes = Counter(_NAME.sub("w", _NUMBER.sub("0", x)) for x in rest) if len(rest) >= UNIFORM_LINES else Counter()
+    commas = bare.count(",")
+    shapes = Counter(_NAME.sub("w", _NUMBER.sub("0", x)) for x in laid) if len(laid) >= UNIFORM_LINES else Counter()
     share, ordered = 0.0, False
     if shapes:
         shape, n = shapes.most_common(1)[0]
-        share = n / len(rest)
+        share = n / len(laid)
         if share >= 0.4 and "w" in shape:
-            same = [x for x in rest if _NAME.sub("w", _NUMBER.sub("0", x)) == shape]
+            same = [x for x in laid if _NAME.sub("w", _NUMBER.sub("0", x)) == shape]
             names = [_NAME.findall(x) for x in same]
             for column in range(min(3, min(map(len, names)))):
                 got = [x[column].lower() for x in names]
@@ -95,7 +153,8 @@ def layout(text: str, language: str) -> dict:
                     ordered = True
     return {
         "lines": lines,
-        "expansion": canonical / max(lines, 1),
+        "expansion": len(laid) / max(lines, 1),
+        "kept_share": kept,
         "line_chars": ink / max(lines, 1),
         "literal_share": (literal + numbers + commas) / max(ink, 1),
         "uniform_share": share,
@@ -104,18 +163,35 @@ def layout(text: str, language: str) -> dict:
     }
 
 
+_BLOCKS = (("/*", "*/"), ("{/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
+
+
 def _generator_header(text: str) -> bool:
-    """A comment among the first lines that says a tool wrote the file."""
-    at = 0
-    for line in text[:3000].lstrip("﻿").split("\n")[:25]:
+    """A comment in front of the code says that a tool wrote the file; the first
+    two lines of code may be a package, an import or a directive."""
+    code = 0
+    inside = ""  # what ends the open comment
+    for line in text.lstrip("\ufeff").split("\n"):
         s = line.strip()
-        if s and not s.startswith(("#", "//", "/*", "*", "<!--", "--", '"""', "'''", ";", "%")):
-            at += 1
-            if at > 2:
+        if not s:
+            continue
+        said = bool(inside)
+        if not inside:
+            for start, end in _BLOCKS:
+                if s.startswith(start):
+                    said, inside, s = True, end, s[len(start) :]
+                    break
+            else:
+                said = s.startswith(("#", "//", "*", "--", ";", "%"))
+        if not said:
+            code += 1
+            if code > 2:
                 return False
             continue
         if _HEADER.search(s) and not _NO_HEADER.search(s):
             return True
+        if inside and inside in s:
+            inside = ""
     return False
 
 
@@ -129,8 +205,10 @@ def origin(path: str, language: str, text: str) -> str | None:
         return None
     f = layout(text, language)
     long_lines = f["line_chars"] >= LINE_CHARS
+    wrapped = f["expansion"] >= WRAPPED_EXPANSION and f["kept_share"] <= KEPT_SHARE and f["line_chars"] >= WRAPPED_CHARS
     if f["ink"] >= 400 and (
         (f["expansion"] >= EXPANSION and long_lines)
+        or wrapped
         or (_SMALL_NAME.search(path) and f["expansion"] >= 3 and f["line_chars"] >= 80)
     ):
         return "minified"

@@ -66,20 +66,54 @@ def check_bins(sizes, capacity, bins):
     assert all(sum(sizes[i] for i in b) <= capacity for b in bins)
 
 
+def fewest(sizes, capacity):
+    """Exact number of containers, by trying every placement."""
+    best = len(sizes)
+
+    def place(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(sizes):
+            best = len(room)
+            return
+        for r in {x for x in room if x >= sizes[i]}:
+            k = room.index(r)
+            place(i + 1, room[:k] + [r - sizes[i]] + room[k + 1 :])
+        place(i + 1, room + [capacity - sizes[i]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best
+
+
 def test_bin_completion_beats_or_equals_best_fit():
     rnd = random.Random(4)
     better = 0
     for _ in range(60):
         capacity = 100
         sizes = [rnd.choice([rnd.randint(1, 100), rnd.randint(20, 50)]) for _ in range(rnd.randint(0, 40))]
-        bins, plain = pk.complete(sizes, capacity), pk.best_fit(sizes, capacity)
+        (bins, _), plain = pk.complete(sizes, capacity), pk.best_fit(sizes, capacity)
         check_bins(sizes, capacity, bins)
         check_bins(sizes, capacity, plain)
         assert -(-sum(sizes) // capacity) <= len(bins) <= len(plain)
         better += len(bins) < len(plain)
     # best-fit decreasing needs three containers here, completion two
-    assert len(pk.best_fit([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 90)) >= len(pk.complete([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 90)) == 2
-    assert better >= 0
+    sizes = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]
+    assert len(pk.best_fit(sizes, 90)) >= len(pk.complete(sizes, 90)[0]) == 2
+    assert better > 0
+
+
+def test_bin_completion_without_bounds_is_exact():
+    rnd = random.Random(9)
+    for _ in range(80):
+        sizes = [rnd.randint(15, 70) for _ in range(rnd.randint(0, 9))]
+        bins, settled = pk.complete(sizes, 100, None, None)
+        check_bins(sizes, 100, bins)
+        assert settled and len(bins) == fewest(sizes, 100), sizes
+    many = [rnd.randint(1, 9) for _ in range(3000)]
+    got, whole = pk.fillings({s: many.count(s) for s in set(many)}, sorted(set(many), reverse=True), 9000)
+    assert got[0][0] == 0 or not whole  # thousands of items in one container
 
 
 def test_packing_frame(spark):

@@ -304,6 +304,29 @@ def test_origin(path, language, text, why):
     assert so.origin(path, language, text) == why
 
 
+@pytest.mark.parametrize("width", [80, 110, 150, 400])
+def test_minified_files_that_are_wrapped(width):
+    import textwrap
+
+    body = "!function(t,n){" + "if(n.a>4){r=n.b; o.c(r)}var x=1; z[i]=function(){return i}" * 40 + "}"
+    assert so.origin("a/x.js", "javascript", "\n".join(textwrap.wrap(body, width))) == "minified"
+
+
+def test_canonical_layout():
+    text = "if (a) { b({ c: 1 });\n\td = [1,\n 2]; }"
+    assert so.canonical(text, "javascript") == ["if (a) {", "    b({ c: 1 });", "    d = [1,", "    2];", "}"]
+    assert so.canonical("x = {'a': f(1,\n   2)}; y", "python") == ["x = {'a': f(1, 2)};", "y"]
+    assert so.canonical("", "go") == []
+
+
+def test_generator_headers_wherever_they_stand():
+    licence = "/*\n" + " * Redistribution and use in source and binary forms\n" * 90 + " */\n"
+    assert so.origin("a/x.go", "go", licence + "// Code generated by tool. DO NOT EDIT.\npackage x\n") == "generated"
+    assert so.origin("a/x.py", "python", '"""Intro.\n\nGenerated by tool. Do not edit.\n"""\nx = 1\n') == "generated"
+    assert so.origin("a/x.html", "html", "<!--\n  automatically generated\n-->\n<p>") == "generated"
+    assert so.origin("a/x.py", "python", "a = 1\nb = 2\nc = 3\n# Code generated by tool.\n") is None
+
+
 def test_origins_frame(spark):
     import hashlib
 
