@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # File name suffix -> language, and names without a suffix.
 LANGUAGE_BY_SUFFIX = {
@@ -19,6 +22,45 @@ LANGUAGE_BY_NAME = {"dockerfile": "Dockerfile", "makefile": "Makefile"}
 SPAN_CHARS = 200
 
 
+_STRING = r'"(?:[^"\\\n]|\\.)*"'
+_QUOTED = r"'(?:[^'\\\n]|\\.)*'"
+_CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,9}?)'"
+_SLASHED = r"//[^\n]*|/\*(?s:.*?)\*/"
+#: Comments and literals by the way a language writes them: with # , with // and
+#: quoted strings, with // and quoted characters.
+TEXT_FORMS = {
+    "hash": r'"""(?s:.*?)"""|' + r"'''(?s:.*?)'''" + f"|{_STRING}|{_QUOTED}|#[^\\n]*",
+    "script": f"{_SLASHED}|{_STRING}|{_QUOTED}|`[^`]*`",
+    "char": f"{_SLASHED}|{_STRING}|{_CHAR}|`[^`]*`",
+}
+HASH_LANGUAGES = ("python", "yaml", "ruby", "shell", "dockerfile", "makefile")
+SCRIPT_LANGUAGES = ("javascript", "typescript", "php", "css")
+
+
+def without_texts(code: Column, language: Column) -> Column:
+    """Code with a blank in place of every comment and string literal. The
+    loops are possessive, so a literal of any length needs no stack."""
+    form = {k: F.regexp_replace(code, v.replace(")*", ")*+"), " ") for k, v in TEXT_FORMS.items()}
+    lang = F.lower(F.trim(language))
+    return F.when(lang.isin(*HASH_LANGUAGES), form["hash"]).when(lang.isin(*SCRIPT_LANGUAGES), form["script"]).otherwise(form["char"])
+
+
+def without_comments(code: Column) -> Column:
+    """Code of a language with // comments without them; literals stay."""
+    return F.regexp_replace(code, f"({_STRING}|{_QUOTED}|`[^`]*`)|{_SLASHED}".replace(")*", ")*+"), "$1")
+
+
+@F.pandas_udf(StringType())
+def blake2b(text: pd.Series) -> pd.Series:
+    """BLAKE2b-128 of the UTF-8 bytes, in hex; null for null."""
+    return text.map(lambda t: None if t is None else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+
+
+def strip_quotes(value: Column) -> Column:
+    """Without surrounding blanks, then without surrounding quote characters."""
+    return F.regexp_replace(F.trim(value), "^[\"'`]+|[\"'`]+$", "")
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

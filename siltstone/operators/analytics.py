@@ -17,6 +17,9 @@ HOMONYMS = 3
 SHORT_NAME = 3
 GOD_METHODS, GOD_LOC, LARGE_METHODS, UTILITY_METHODS, LONG_LOC = 15, 300, 12, 5, 60
 ENTRY_FILES = ("main.py", "__main__.py", "app.py", "index.ts", "index.js", "main.go", "main.rs")
+SINGLETON_METHODS = ("get_instance", "getinstance", "instance", "shared")
+INTERFACE_LIKE = r"\b(Protocol|ABC|ABCMeta|Interface)\b"
+DEAD_SHOWN = 50
 INERT_DECORATORS = ("staticmethod", "classmethod")
 # Class name ending, pattern, confidence, what one of its methods must start with.
 PATTERNS = (
@@ -59,7 +62,7 @@ def dead_code(symbols: DataFrame, callers: DataFrame, identifiers: DataFrame) ->
     defined = symbols.groupBy("repository_id", "name").agg(F.count("*").alias("defined"))
     live = F.exists(F.coalesce(decorator_names(F.col("decorators")), F.array().cast("array<string>")), lambda d: ~d.isin(*INERT_DECORATORS))
     name = F.col("name")
-    special = name.isin("main", "constructor") | F.startswith(F.lower(name), F.lit("test")) | (F.startswith(name, F.lit("__")) & F.endswith(name, F.lit("__")))
+    special = name.isin("main", "constructor") | F.startswith(name, F.lit("test")) | (F.startswith(name, F.lit("__")) & F.endswith(name, F.lit("__")))
     return (
         symbols.where(is_callable() & ~special & ~live).join(callers.where("callers = 0"), "id", "left_semi")
         .join(defined, ["repository_id", "name"]).join(identifiers, ["repository_id", "name"], "left")
@@ -83,10 +86,11 @@ def class_methods(symbols: DataFrame) -> DataFrame:
     and flags are aggregated, so a class of any size stays one small row."""
     asks = [(what, method) for _, what, _, method in PATTERNS if method]
     m = symbols.where("type = 'method' and parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(
-        F.count("*").alias("methods"), *[F.bool_or(F.rlike("name", F.lit(method))).alias(f"fits_{what}") for what, method in asks]
+        F.count("*").alias("methods"), F.bool_or(F.lower("name").isin(*SINGLETON_METHODS)).alias("singleton"), *[F.bool_or(F.rlike("name", F.lit(method))).alias(f"fits_{what}") for what, method in asks]
     )
     return symbols.where(F.col("type").isin("class", "struct", "interface")).join(m, "id", "left").select(
         "id", "repository_id", "name", "path", "start_line", "signature", loc().alias("loc"), F.coalesce("methods", F.lit(0)).alias("methods"),
+        F.coalesce("singleton", F.lit(False)).alias("singleton"),
         *[F.coalesce(f"fits_{what}", F.lit(False)).alias(f"fits_{what}") for what, _ in asks],
     )
 
@@ -104,25 +108,42 @@ def design_pattern(name: Column) -> tuple[Column, Column]:
     return label, conf
 
 
-def findings(symbols: DataFrame, duplicates: DataFrame, dead: DataFrame) -> DataFrame:
-    """Union of the findings: repository_id, category, title, target, confidence."""
-    classes = class_methods(symbols)
+def size_smells(classes: DataFrame, god_methods: int = GOD_METHODS, god_loc: int = GOD_LOC, large_methods: int = LARGE_METHODS) -> DataFrame:
+    """Adds ``god`` and ``large`` to rows of `class_methods`; a class that is an
+    interface by its signature is not large."""
+    god = (F.col("methods") >= god_methods) | (F.col("loc") >= god_loc)
+    like = F.rlike(F.coalesce("signature", F.lit("")), F.lit(INTERFACE_LIKE))
+    return classes.withColumn("god", god).withColumn("large", ~god & (F.col("methods") >= large_methods) & ~like)
+
+
+def entry_names(symbols: DataFrame, pattern: str = "^main$") -> DataFrame:
+    """Callables whose name is that of an entry point."""
+    return symbols.where(is_callable() & F.rlike("name", F.lit(pattern)))
+
+
+def findings(symbols: DataFrame, duplicates: DataFrame, dead: DataFrame, cycles: DataFrame, hot: DataFrame) -> DataFrame:
+    """Union of the findings: repository_id, category, title, target, confidence.
+    `cycles` has an array of paths, `hot` the shared names."""
+    classes = size_smells(class_methods(symbols))
     label, sure = design_pattern(F.col("name"))
     row = lambda df, category, title, target, confidence: df.select(
         "repository_id", F.lit(category).alias("category"), title.alias("title"), target.alias("target"), confidence.alias("confidence")
     )
-    god = (F.col("methods") >= GOD_METHODS) | (F.col("loc") >= GOD_LOC)
+    place = F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit(" "), "name")
+    shown = top_per(dead.withColumn("place", place), ["repository_id"], [F.col("place"), F.col("id")], DEAD_SHOWN)
     parts = [
         row(duplicates, "duplicate_logic", F.lit("Duplicate implementation"), F.array_join(F.slice("paths", 1, 3), ", "), F.lit(0.85)),
-        row(dead, "dead_code", F.concat(F.lit("Unused: "), "name"), F.concat_ws(":", "path", F.col("start_line").cast("string")), F.lit(0.5)),
+        row(shown, "dead_code", F.lit("Dead-code candidate"), F.col("place"), F.lit(0.5)),
+        row(cycles, "circular_dependency", F.lit("Circular dependency"), F.get("cycle", F.lit(0)), F.lit(0.9)),
+        row(hot, "hotspot", F.lit("Shared utility (hotspot)"), F.col("name"), F.lit(0.7)),
         row(classes.withColumn("label", label).withColumn("sure", sure).where("label is not null"), "design_pattern",
             F.concat("label", F.lit(" pattern: "), "name"), F.col("name"), F.col("sure")),
-        row(classes.where(god), "god_object", F.concat(F.lit("God object: "), "name"), F.col("name"), F.lit(0.7)),
-        row(classes.where(~god & (F.col("methods") >= LARGE_METHODS)), "large_class", F.concat(F.lit("Large class: "), "name"), F.col("name"), F.lit(0.55)),
+        row(classes.where("singleton"), "design_pattern", F.concat(F.lit("Singleton pattern: "), "name"), F.col("name"), F.lit(0.6)),
+        row(classes.where("god"), "god_object", F.concat(F.lit("God object: "), "name"), F.col("name"), F.lit(0.7)),
+        row(classes.where("large"), "large_class", F.concat(F.lit("Large class: "), "name"), F.col("name"), F.lit(0.55)),
         row(classes.where(F.rlike("name", F.lit("(Utils?|Helpers?|Common|Misc)$")) & (F.col("methods") >= UTILITY_METHODS)), "utility_abuse",
             F.concat(F.lit("Utility class abuse: "), "name"), F.col("name"), F.lit(0.5)),
-        row(symbols.where(is_callable() & (loc() >= LONG_LOC)), "long_function", F.concat(F.lit("Long function: "), "name"),
-            F.concat_ws(":", "path", F.col("start_line").cast("string")), F.lit(0.6)),
+        row(symbols.where(is_callable() & (loc() >= LONG_LOC)), "long_function", F.lit("Long function"), F.col("name"), F.lit(0.55)),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -130,6 +151,30 @@ def findings(symbols: DataFrame, duplicates: DataFrame, dead: DataFrame) -> Data
     return out
 
 
+def enrichment_findings(symbols: DataFrame, enriched: DataFrame, least: int = 2) -> DataFrame:
+    """Findings from model enrichment (symbol_id, business_domain array,
+    architecture_layer): domains of at least `least` symbols and every layer,
+    `Unknown` and empty ones left out; columns as in `findings`."""
+    e = enriched.join(symbols.select(F.col("id").alias("symbol_id"), "repository_id"), "symbol_id")
+    domain = e.select("repository_id", F.explode("business_domain").alias("target")).where("target <> 'Unknown'")
+    domain = domain.groupBy("repository_id", "target").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    layer = e.where("architecture_layer not in ('', 'Unknown')").groupBy("repository_id", F.col("architecture_layer").alias("target")).agg(F.count("*").alias("n"))
+    shape = lambda df, category, lead: df.select(
+        "repository_id", F.lit(category).alias("category"), F.concat(F.lit(lead), "target").alias("title"), "target", F.lit(0.6).alias("confidence"))
+    return shape(domain, "business_domain", "Domain: ").unionByName(shape(layer, "architecture_layer", "Layer: "))
+
+
+def file_layers(symbols: DataFrame, enriched: DataFrame) -> DataFrame:
+    """``repository_id, path, role``: the commonest known layer of a file's
+    symbols (the first by name on ties), else the name of its directory."""
+    e = enriched.where("architecture_layer not in ('', 'Unknown')").select(F.col("symbol_id").alias("id"), F.col("architecture_layer").alias("layer"))
+    n = symbols.join(e, "id").groupBy("repository_id", "path", "layer").agg(F.count("*").alias("n"))
+    best = n.groupBy("repository_id", "path").agg(F.min(F.struct((-F.col("n")).alias("k"), "layer")).alias("x")).select("repository_id", "path", "x.layer")
+    files = symbols.select("repository_id", "path").distinct()
+    return files.join(best, ["repository_id", "path"], "left").select(
+        "repository_id", "path", F.coalesce("layer", base_name(dir_name(F.col("path"), "root"))).alias("role"))
+
+
 def findings_diff(now: DataFrame, before: DataFrame, key: list[str]) -> DataFrame:
     """Findings by key that are new or resolved between two snapshots."""
     a, b = now.select(*key).distinct(), before.select(*key).distinct()

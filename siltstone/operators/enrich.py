@@ -5,21 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import clamp, keep_vocabulary, model_json
 
-# The closed vocabularies of model replies.
+# The closed vocabularies of model replies, and the scores they hold.
 LAYERS = (
-    "Presentation UI Controller API Middleware Application Service Domain Repository Persistence Infrastructure Messaging Integration "
-    "Security Authentication Authorization Configuration Database Cache CLI Shared Unknown"
-).split() + ["Background Worker"]
+    "Presentation", "UI", "Controller", "API", "Middleware", "Application", "Service", "Domain", "Repository", "Persistence", "Infrastructure",
+    "Messaging", "Integration", "Security", "Authentication", "Authorization", "Configuration", "Database", "Cache", "CLI", "Background Worker",
+    "Shared", "Unknown",
+)
 DOMAINS = (
-    "Authentication Authorization Billing Payments Orders Inventory Products Catalog CRM Customers Users Accounts Notifications Messaging "
-    "Analytics Reporting Administration Search Scheduling Logging Monitoring Media Content Shipping Tax Finance Support AI/ML Unknown"
-).split()
-SCHEMA = "summary string, business_domain array<string>, architecture_layer string, confidence double"
+    "Authentication", "Authorization", "Billing", "Payments", "Orders", "Inventory", "Products", "Catalog", "CRM", "Customers", "Users", "Accounts",
+    "Notifications", "Messaging", "Analytics", "Reporting", "Administration", "Search", "Scheduling", "Logging", "Monitoring", "Media", "Content",
+    "Shipping", "Tax", "Finance", "Support", "AI/ML", "Unknown",
+)
+RESPONSIBILITIES = (
+    "Validation", "Persistence", "Business Logic", "Transformation", "Mapping", "Serialization", "Deserialization", "Caching", "Authorization",
+    "Authentication", "Routing", "Orchestration", "Coordination", "Event Publishing", "Event Handling", "API Client", "Database Access",
+    "Configuration", "Utility", "Factory", "Builder", "Parsing", "Formatting", "Monitoring", "Metrics", "Testing",
+)
+METRICS = (
+    "complexity", "maintainability", "readability", "coupling", "cohesion", "testability", "risk", "stability", "reusability", "technical_debt",
+)
+METRIC_SCHEMA = ", ".join(f"{m} double" for m in METRICS)
+SCHEMA = (
+    "summary string, business_domain array<string>, architecture_layer string, responsibilities array<string>, risks array<string>, "
+    f"technical_debt array<string>, quality_metrics struct<{METRIC_SCHEMA.replace(' double', ': double')}>, confidence double"
+)
+
+
+def metrics(reply: Column) -> Column:
+    """The ten scores, each in [0, 1], 0 where the reply has none."""
+    return F.struct(*[clamp(F.coalesce(reply[m], F.lit(0.0))).alias(m) for m in METRICS])
+
+
+def _said(values: Column) -> Column:
+    """Strings that are not blank; an empty array for null."""
+    return F.coalesce(F.filter(values, lambda x: F.trim(x) != ""), F.array().cast("array<string>"))
 
 
 def call_model(df: DataFrame, key: str, prompt: str, complete: Callable[[str], str]) -> DataFrame:
@@ -47,8 +71,11 @@ def enrichment(replies: DataFrame, key: str) -> DataFrame:
     layer = F.col("j.architecture_layer")
     return r.select(
         key, F.coalesce(F.nullif(F.trim("j.summary"), F.lit("")), F.lit("Unknown")).alias("summary"),
-        F.coalesce(keep_vocabulary(F.col("j.business_domain"), DOMAINS, "Unknown"), F.array(F.lit("Unknown"))).alias("business_domain"),
-        F.when(layer.isin(LAYERS), layer).otherwise("Unknown").alias("architecture_layer"),
+        F.coalesce(keep_vocabulary(F.col("j.business_domain"), list(DOMAINS), "Unknown"), F.array(F.lit("Unknown"))).alias("business_domain"),
+        F.when(layer.isin(*LAYERS), layer).otherwise("Unknown").alias("architecture_layer"),
+        F.coalesce(keep_vocabulary(F.col("j.responsibilities"), list(RESPONSIBILITIES)), F.array().cast("array<string>")).alias("responsibilities"),
+        _said(F.col("j.risks")).alias("risks"), _said(F.col("j.technical_debt")).alias("technical_debt"),
+        metrics(F.col("j.quality_metrics")).alias("quality_metrics"),
         F.when(F.col("j.summary").isNull(), 0.0).otherwise(clamp(F.coalesce("j.confidence", F.lit(0.0)))).alias("confidence"),
     )
 

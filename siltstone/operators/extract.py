@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import first_line, visibility
+from siltstone.functions.text import blake2b, first_line, visibility
+from siltstone.operators.graph import nearest_enclosing
 
 # How declarations start, by language: (kind, pattern with the name in group 1).
 DECLARATIONS = {
@@ -29,6 +30,19 @@ DECLARATIONS = {
              ("enum", r"^[ \t]*(?:(?:public|private|protected)\s+)*enum\s+(\w+)"),
              ("method", r"^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?!return\b|new\b|else\b|throw\b)[\w<>\[\], ]+\s+(\w+)\s*\([^)\n]*\)\s*(?:throws [\w, .]+)?\{")],
 }
+_C_FUNCTION = r"^(?!(?:else|return|if|for|while|switch|do|typedef)\b)(?:[A-Za-z_][\w:<>,]*[ \t*&]+)+[*&]*((?:\w+::)*~?\w+)[ \t]*\([^;{}()]*(?:\([^;{}()]*\)[^;{}()]*)*\)[ \t\n]*(?:const\b|noexcept\b|override\b|[ \t\n])*\{"
+DECLARATIONS["c"] = [("function", _C_FUNCTION), ("struct", r"^[ \t]*(?:typedef\s+)?struct\s+(\w+)\s*\{"), ("enum", r"^[ \t]*(?:typedef\s+)?enum\s+(\w+)\s*\{")]
+DECLARATIONS["c++"] = [
+    *DECLARATIONS["c"], ("class", r"^[ \t]*(?:template\s*<[^>]*>\s*)?class\s+(\w+)[^;{()]*\{"), ("namespace", r"^[ \t]*(?:inline\s+)?namespace\s+(\w+)\s*\{"),
+    ("enum", r"^[ \t]*enum\s+(?:class|struct)\s+(\w+)[^;{]*\{"), ("method", r"^[ \t]+" + _C_FUNCTION[1:])]
+_CS_WORDS = r"(?:(?:public|private|protected|internal|static|abstract|sealed|partial|async|override|virtual|readonly|final)\s+)*"
+DECLARATIONS["c#"] = [
+    ("class", rf"^[ \t]*{_CS_WORDS}(?:class|record)\s+(\w+)"), ("interface", rf"^[ \t]*{_CS_WORDS}interface\s+(\w+)"), ("struct", rf"^[ \t]*{_CS_WORDS}struct\s+(\w+)"),
+    ("enum", rf"^[ \t]*{_CS_WORDS}enum\s+(\w+)"), ("namespace", r"^[ \t]*namespace\s+([\w.]+)"),
+    ("method", rf"^[ \t]+{_CS_WORDS}(?!return\b|new\b|else\b|throw\b|using\b|await\b)[\w<>\[\],.?]+\s+(\w+)\s*\([^)\n]*\)\s*(?:where [^{{\n]+)?(?:\{{|=>)")]
+DECLARATIONS["php"] = [
+    ("class", rf"^[ \t]*{_CS_WORDS}class\s+(\w+)"), ("interface", r"^[ \t]*interface\s+(\w+)"), ("trait", r"^[ \t]*trait\s+(\w+)"), ("enum", r"^[ \t]*enum\s+(\w+)"),
+    ("function", rf"^[ \t]*{_CS_WORDS}function\s+&?(\w+)\s*\(")]
 DECLARATIONS["typescript"] = [*DECLARATIONS["javascript"], ("interface", r"^[ \t]*(?:export\s+)?interface\s+(\w+)"), ("enum", r"^[ \t]*(?:export\s+)?(?:const\s+)?enum\s+(\w+)")]
 _COMPILED = {k: [(kind, re.compile(p, re.M)) for kind, p in v] for k, v in DECLARATIONS.items()}
 _SKIP = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\[^\n]{1,8})'|`(?:[^`\\]|\\.)*`|[{};]""", re.S)
@@ -56,10 +70,18 @@ def _python(text: str) -> list[tuple]:
     return out
 
 
+def _blank(m: re.Match) -> str:
+    """A comment or literal as characters that no declaration has, with its line
+    ends; brackets stay."""
+    t = m.group()
+    return t if t in "{};" else re.sub(r"[^\n]", "\0", t)
+
+
 def _braced(text: str, language: str) -> list[tuple]:
     out = []
+    bare = _SKIP.sub(_blank, text)  # a declaration in a comment or a literal is none
     for kind, pattern in _COMPILED[language]:
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(bare):
             depth, end = 0, len(text)
             at = m.end() - 1 if text[m.end() - 1] == "{" else m.end()
             for t in _SKIP.finditer(text, at):
@@ -113,11 +135,9 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     raw = files.select("repository_id", "path", "language", "content").mapInArrow(run, schema).withColumn(
         "id", F.md5(F.concat_ws("|", "repository_id", "path", "type", "name", F.col("start_line").cast("string")))
     )
-    around = raw.where(~F.col("type").isin("global", "const")).select(
-        "repository_id", "path", F.col("id").alias("p"), F.col("type").alias("p_type"), F.col("start_line").alias("ps"), F.col("end_line").alias("pe"))
-    inside = raw.select("repository_id", "path", "id", "start_line", "end_line").join(around, ["repository_id", "path"]).where(
-        "ps <= start_line and pe >= end_line and (ps <> start_line or pe <> end_line)")
-    parent = inside.groupBy("id").agg(F.max(F.struct("ps", "pe", "p", "p_type")).alias("x"))
+    spans = raw.select(F.concat_ws("|", "repository_id", "path").alias("file"), "id", "start_line", "end_line", (~F.col("type").isin("global", "const")).alias("holds"))
+    outer = raw.select(F.col("id").alias("p"), F.col("type").alias("p_type"))
+    parent = nearest_enclosing(spans, "file").join(outer, F.col("encloser") == F.col("p")).select("id", F.struct("p", "p_type").alias("x"))
     kind = (
         F.when((F.col("type") == "function") & F.col("x.p_type").isin("class", "interface", "struct", "trait"), "method")
         .when((F.col("type") == "global") & F.rlike("name", F.lit("^[A-Z][A-Z0-9_]*$")), "const").otherwise(F.col("type"))
@@ -126,5 +146,5 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     line = first_line(F.col("code"))
     return out.select(
         "id", "repository_id", "path", "language", kind.alias("type"), "name", "start_line", "end_line", line.alias("signature"),
-        visibility(F.col("language"), F.col("name"), line).alias("visibility"), F.col("x.p").alias("parent_id"), "code", F.md5("code").alias("hash"), "decorators",
+        visibility(F.col("language"), F.col("name"), line).alias("visibility"), F.col("x.p").alias("parent_id"), "code", blake2b("code").alias("hash"), "decorators",
     )

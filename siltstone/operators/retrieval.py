@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.operators.search import row_numbers
+
 # Weights and limits of the blend.
 WEIGHTS = {"symbol": 0.30, "vector": 0.35, "keyword": 0.20, "graph": 0.15, "recency": 0.05}
 CONSENSUS = 0.08
@@ -25,11 +26,13 @@ def merge_sources(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def recency(df: DataFrame, stamp: str = "updated_at") -> DataFrame:
-    """Adds ``recency``: rank by time over n - 1, ties by id, 1 for a single row.
-    `df` is a candidate set, bounded by the limits of the sources."""
-    rank = F.row_number().over(W.orderBy(F.col(stamp).asc_nulls_first(), "id")) - 1
-    n = F.count("*").over(W.partitionBy())
-    return df.withColumn("recency", F.when(n == 1, F.lit(1.0)).otherwise(rank / (n - 1)))
+    """Adds ``recency``: rank by time over n - 1, nulls first, ties by id, 1 for a
+    single row. Ranks come from range partitions, so no task holds all rows."""
+    n = df.agg(F.count("*").alias("_n"))  # one row
+    ranked = row_numbers(df.withColumn("_null", F.col(stamp).isNotNull()), [], ["_null", stamp, "id"], "_rank")
+    return ranked.crossJoin(F.broadcast(n)).withColumn(
+        "recency", F.when(F.col("_n") == 1, F.lit(1.0)).otherwise((F.col("_rank") - 1) / (F.col("_n") - 1))
+    ).drop("_null", "_rank", "_n")
 
 
 def keyword_signal(hits: DataFrame) -> DataFrame:

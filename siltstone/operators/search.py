@@ -64,6 +64,15 @@ def fuzzy_ratio(name: pd.Series, query: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def ratio_bound(name: Column, query: str) -> Column:
+    """No less than the similarity of a name and a query, nor than what a prefix
+    or a substring scores: twice the characters they have in common over all."""
+    low, q = F.lower(name), query.lower()
+    count = lambda ch: F.length(low) - F.length(F.replace(low, F.lit(ch), F.lit("")))
+    common = sum((F.least(count(ch), F.lit(q.count(ch))) for ch in sorted(set(q))), F.lit(0))
+    return F.when(F.contains(low, F.lit(q)), F.lit(1.0)).otherwise(2 * common / (F.length(low) + len(q)))
+
+
 def name_score(name: Column, query: str, fuzzy: bool = True) -> tuple[Column, Column]:
     """(score, match type) of a name for a query, without case."""
     low, q = F.lower(name), query.lower()
@@ -97,6 +106,8 @@ def symbol_search(
         df = df.where(F.col("path").ilike(path_prefix + "%"))
     # names are shared by many symbols: score each distinct name once
     names = df.select("name").distinct()
+    if fuzzy:
+        names = names.where(ratio_bound(F.col("name"), query) >= LEAST_FUZZY)
     score, kind = name_score(F.col("name"), query, fuzzy)
     names = names.select("name", F.round(score, 4).alias("score"), kind.alias("match_type"))
     names = names.where((F.col("match_type") != "fuzzy") | (F.col("score") >= LEAST_FUZZY))

@@ -6,14 +6,15 @@ from siltstone.functions.text import base_name, dir_name
 from siltstone.operators import analytics as A
 from siltstone.operators import graph as G
 from siltstone.operators.search import top_per
+from siltstone.plans.graph_queries import file_dependencies
 from siltstone.plans.registry import query
-from siltstone.plans.views import BASE, CALLS, DIR, INDEG, S, TX, calls, sym, texts
+from siltstone.plans.views import BASE, CALLS, DIR, FI, INDEG, S, TX, bare, calls, fil, sym, texts
 from siltstone.sources.tables import table
 
 
-@query("language_breakdown", f"WITH {S} SELECT repository_id, lower(trim(language)) AS language, count(*) AS n FROM s GROUP BY 1, 2")
+@query("language_breakdown", f"WITH {FI} SELECT repository_id, language, count(*) AS n FROM f GROUP BY 1, 2")
 def language_breakdown(spark, base):
-    return sym(spark, base, "repository_id", "language").groupBy("repository_id", F.lower(F.trim("language")).alias("language")).agg(F.count("*").alias("n"))
+    return fil(spark, base, "repository_id", "language").groupBy("repository_id", "language").agg(F.count("*").alias("n"))
 
 
 @query("type_breakdown", f"WITH {S} SELECT type, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC, type")
@@ -34,12 +35,11 @@ def duplicate_groups(spark, base):
     return g.select("hash", "copies", F.array_join("names", ",").alias("names"), F.array_join("paths", ",").alias("paths"))
 
 
-IDENT = """ident AS (SELECT repository_id, name, count(*) AS occurrences FROM (SELECT repository_id, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM x) GROUP BY 1, 2)"""
+IDENT = f"""ident AS (SELECT repository_id, name, count(*) AS occurrences FROM (SELECT repository_id, unnest(regexp_extract_all({bare("content", "language")}, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM x) GROUP BY 1, 2)"""
 
 
 def _identifiers(spark, base):
-    words = F.explode(F.regexp_extract_all("content", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1)).alias("name")
-    return texts(spark, base).select("repository_id", words).groupBy("repository_id", "name").agg(F.count("*").alias("occurrences"))
+    return G.identifiers(texts(spark, base))
 
 
 @query("identifier_counts", f"WITH {TX}, {IDENT} SELECT repository_id, name, occurrences FROM ident")
@@ -55,7 +55,7 @@ def group_fingerprint(spark, base):
 
 _DEAD = f"""{INDEG}, {TX}, {IDENT}, defd AS (SELECT repository_id, name, count(*) AS defined FROM s GROUP BY 1, 2),
 dead AS (SELECT s.repository_id, s.id, s.name, s.path, s.start_line FROM s JOIN deg ON deg.id = s.id AND deg.callers = 0 JOIN defd USING (repository_id, name)
-LEFT JOIN ident USING (repository_id, name) WHERE s.type IN ('function', 'method') AND s.name NOT IN ('main', 'constructor') AND NOT starts_with(lower(s.name), 'test')
+LEFT JOIN ident USING (repository_id, name) WHERE s.type IN ('function', 'method') AND s.name NOT IN ('main', 'constructor') AND NOT starts_with(s.name, 'test')
 AND NOT (starts_with(s.name, '__') AND ends_with(s.name, '__')) AND len(list_filter(coalesce(s.decorators, []), lambda d: regexp_replace(regexp_replace(d, '^@', ''), '\\(.*$', '') NOT IN ('staticmethod', 'classmethod'))) = 0
 AND coalesce(occurrences, 0) <= defined)"""
 
@@ -72,7 +72,14 @@ def dead_code(spark, base):
 
 @query("entry_points", f"WITH {S} SELECT repository_id, path, start_line FROM s WHERE name = 'main' AND type IN ('function', 'method')")
 def entry_points(spark, base):
-    return sym(spark, base, "repository_id", "path", "start_line", where="name = 'main' and type in ('function', 'method')").select("repository_id", "path", "start_line")
+    return A.entry_names(sym(spark, base, "repository_id", "path", "start_line", "name", "type")).select("repository_id", "path", "start_line")
+
+
+@query("first_words", f"WITH {S} SELECT repository_id, path, start_line, name FROM s WHERE regexp_matches(name, '^(load|start|run|init)') AND type IN ('function', 'method')")
+def first_words(spark, base):
+    """Entry points under other names: `main` does not occur in the tables."""
+    s = sym(spark, base, "repository_id", "path", "start_line", "name", "type")
+    return A.entry_names(s, "^(load|start|run|init)").select("repository_id", "path", "start_line", "name")
 
 
 @query("shared_utilities", f"""WITH {INDEG}, h AS (SELECT repository_id, name FROM s GROUP BY 1, 2 HAVING count(*) <= 3)
@@ -94,8 +101,8 @@ def dependency_report_counts(spark, base):
     return per.join(edges, "repository_id", "left").select("repository_id", "symbols", "files", "called", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
-_CLASSES = """m AS (SELECT parent_id AS id, count(*) AS methods, list_sort(list(DISTINCT name)) AS method_names FROM s WHERE type = 'method' AND parent_id IS NOT NULL GROUP BY 1),
-k AS (SELECT s.id, s.repository_id, s.name, s.path, s.start_line, s.signature, s.end_line - s.start_line + 1 AS loc, coalesce(methods, 0) AS methods, coalesce(method_names, []) AS method_names
+_CLASSES = """m AS (SELECT parent_id AS id, count(*) AS methods, bool_or(lower(name) IN ('get_instance', 'getinstance', 'instance', 'shared')) AS singleton, list_sort(list(DISTINCT name)) AS method_names FROM s WHERE type = 'method' AND parent_id IS NOT NULL GROUP BY 1),
+k AS (SELECT s.id, s.repository_id, s.name, s.path, s.start_line, s.signature, s.end_line - s.start_line + 1 AS loc, coalesce(methods, 0) AS methods, coalesce(singleton, false) AS singleton, coalesce(method_names, []) AS method_names
 FROM s LEFT JOIN m ON m.id = s.id WHERE s.type IN ('class', 'struct', 'interface'))"""
 _PATTERN = "CASE " + " ".join(
     f"WHEN regexp_matches(name, '{e}')" + (f" AND len(list_filter(method_names, lambda x: regexp_matches(x, '{r}'))) > 0" if r else "") + f" THEN '{w}'" for e, w, _c, r in A.PATTERNS) + " END"
@@ -111,13 +118,12 @@ def design_pattern(spark, base):
 
 @query("god_object", f"WITH {S}, {_CLASSES} SELECT id, methods, loc FROM k WHERE methods >= 15 OR loc >= 300")
 def god_object(spark, base):
-    return A.class_methods(sym(spark, base, *_CLS)).where(f"methods >= {A.GOD_METHODS} or loc >= {A.GOD_LOC}").select("id", "methods", "loc")
+    return A.size_smells(A.class_methods(sym(spark, base, *_CLS))).where("god").select("id", "methods", "loc")
 
 
 @query("large_class", f"WITH {S}, {_CLASSES} SELECT id, methods FROM k WHERE methods >= 12 AND NOT (methods >= 15 OR loc >= 300) AND NOT regexp_matches(coalesce(signature, ''), '\\b(Protocol|ABC|ABCMeta|Interface)\\b')")
 def large_class(spark, base):
-    k = A.class_methods(sym(spark, base, *_CLS)).where(f"methods >= {A.LARGE_METHODS} and not (methods >= {A.GOD_METHODS} or loc >= {A.GOD_LOC})")
-    return k.where(~F.rlike(F.coalesce("signature", F.lit("")), F.lit(r"\b(Protocol|ABC|ABCMeta|Interface)\b"))).select("id", "methods")
+    return A.size_smells(A.class_methods(sym(spark, base, *_CLS))).where("large").select("id", "methods")
 
 
 @query("utility_abuse", f"WITH {S}, {_CLASSES} SELECT id, name, methods FROM k WHERE regexp_matches(name, '(Utils?|Helpers?|Common|Misc)$') AND methods >= 5")
@@ -126,26 +132,57 @@ def utility_abuse(spark, base):
     return k.where(F.rlike("name", F.lit("(Utils?|Helpers?|Common|Misc)$")) & (F.col("methods") >= A.UTILITY_METHODS)).select("id", "name", "methods")
 
 
+@query("classes_over_thresholds", f"WITH {S}, {_CLASSES} SELECT id, methods, loc, methods >= 4 OR loc >= 80 AS god, methods >= 3 AND NOT (methods >= 4 OR loc >= 80) AND NOT regexp_matches(coalesce(signature, ''), '\\b(Protocol|ABC|ABCMeta|Interface)\\b') AS large FROM k WHERE methods >= 3 OR loc >= 80")
+def classes_over_thresholds(spark, base):
+    """The rules of god objects and large classes with thresholds that the classes
+    of the tables reach (four and three methods, 80 lines)."""
+    k = A.size_smells(A.class_methods(sym(spark, base, *_CLS)), god_methods=4, god_loc=80, large_methods=3)
+    return k.where("methods >= 3 or loc >= 80").select("id", "methods", "loc", "god", "large")
+
+
 @query("long_functions", f"WITH {S} SELECT id, end_line - start_line + 1 AS loc FROM s WHERE type IN ('function', 'method') AND end_line - start_line + 1 >= 60")
 def long_functions(spark, base):
     return sym(spark, base, "start_line", "end_line", where=A.is_callable()).select("id", A.loc().alias("loc")).where(f"loc >= {A.LONG_LOC}")
 
 
+_SHARED = """hm AS (SELECT repository_id, name FROM s GROUP BY 1, 2 HAVING count(*) <= 3), shared AS (SELECT repository_id, name, max(callers) AS callers FROM s JOIN deg USING (id)
+WHERE type IN ('function', 'method') AND callers > 1 AND length(name) >= 3 AND (repository_id, name) IN (SELECT repository_id, name FROM hm) GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY max(callers) DESC, name) <= 10)"""
+_FEW_CYCLES = """fd AS (SELECT DISTINCT u.repository_id, cs.path AS src, d.path AS dst FROM c u JOIN s cs ON cs.id = u.caller JOIN hm ON hm.repository_id = u.repository_id AND hm.name = u.callee_name
+JOIN s d ON d.repository_id = u.repository_id AND d.name = u.callee_name WHERE cs.path <> d.path),
+two AS (SELECT a.repository_id, [a.src, a.dst] AS cycle FROM fd a JOIN fd b ON a.repository_id = b.repository_id AND a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst
+QUALIFY row_number() OVER (PARTITION BY a.repository_id ORDER BY [a.src, a.dst]) <= 10)"""
+
+
+def mutual_files(spark, base):
+    """Cycles of two files that call each other, the first ten of a repository."""
+    e = file_dependencies(spark, base)
+    back = e.select("repository_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = e.where("src < dst").join(back, ["repository_id", "src", "dst"], "left_semi")
+    return top_per(both, ["repository_id"], [F.col("src"), F.col("dst")], 10).select("repository_id", F.array("src", "dst").alias("cycle"))
+
+
 _SURE = "CASE " + " ".join(
     f"WHEN regexp_matches(name, '{e}')" + (f" AND len(list_filter(method_names, lambda x: regexp_matches(x, '{r}'))) > 0" if r else "") + f" THEN {c}" for e, w, c, r in A.PATTERNS) + " END"
-_FINDINGS = f"""{_DEAD}, {_CLASSES}, {_DUP}, findings AS (
+_FINDINGS = f"""{_DEAD}, {_CLASSES}, {_DUP}, {_SHARED}, {_FEW_CYCLES}, findings AS (
 SELECT repository_id, 'duplicate_logic' AS category, 'Duplicate implementation' AS title, array_to_string(paths[1:3], ', ') AS target, 0.85 AS confidence FROM dup
-UNION ALL SELECT repository_id, 'dead_code', 'Unused: ' || name, path || ':' || start_line, 0.5 FROM dead
+UNION ALL SELECT repository_id, 'dead_code', 'Dead-code candidate', path || ':' || start_line || ' ' || name, 0.5 FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY path || ':' || start_line || ' ' || name, id) AS rn FROM dead) WHERE rn <= 50
+UNION ALL SELECT repository_id, 'circular_dependency', 'Circular dependency', cycle[1], 0.9 FROM two
+UNION ALL SELECT repository_id, 'hotspot', 'Shared utility (hotspot)', name, 0.7 FROM shared
 UNION ALL SELECT repository_id, 'design_pattern', {_PATTERN} || ' pattern: ' || name, name, {_SURE} FROM k WHERE {_PATTERN} IS NOT NULL
+UNION ALL SELECT repository_id, 'design_pattern', 'Singleton pattern: ' || name, name, 0.6 FROM k WHERE singleton
 UNION ALL SELECT repository_id, 'god_object', 'God object: ' || name, name, 0.7 FROM k WHERE methods >= 15 OR loc >= 300
-UNION ALL SELECT repository_id, 'large_class', 'Large class: ' || name, name, 0.55 FROM k WHERE methods >= 12 AND NOT (methods >= 15 OR loc >= 300)
+UNION ALL SELECT repository_id, 'large_class', 'Large class: ' || name, name, 0.55 FROM k WHERE methods >= 12 AND NOT (methods >= 15 OR loc >= 300) AND NOT regexp_matches(coalesce(signature, ''), '\\b(Protocol|ABC|ABCMeta|Interface)\\b')
 UNION ALL SELECT repository_id, 'utility_abuse', 'Utility class abuse: ' || name, name, 0.5 FROM k WHERE regexp_matches(name, '(Utils?|Helpers?|Common|Misc)$') AND methods >= 5
-UNION ALL SELECT repository_id, 'long_function', 'Long function: ' || name, path || ':' || start_line, 0.6 FROM s WHERE type IN ('function', 'method') AND end_line - start_line + 1 >= 60)"""
+UNION ALL SELECT repository_id, 'long_function', 'Long function', name, 0.55 FROM s WHERE type IN ('function', 'method') AND end_line - start_line + 1 >= 60)"""
 
 
 def _findings(spark, base):
     s = sym(spark, base, *_SYM, "signature", "parent_id", "decorators")
-    return A.findings(s, A.duplicate_groups(s, ["repository_id"]), _dead(spark, base))
+    callers = G.call_in_degree(calls(spark, base), s)
+    hot = A.shared_utilities(s, callers)
+    dead = A.dead_code(s, callers, _identifiers(spark, base))
+    return A.findings(s, A.duplicate_groups(s, ["repository_id"]), dead, mutual_files(spark, base), hot)
 
 
 @query("findings_union", f"WITH {_FINDINGS} SELECT repository_id, category, title, target, CAST(confidence AS DOUBLE) AS confidence FROM findings")

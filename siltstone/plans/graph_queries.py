@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from siltstone.functions import text as T
 from siltstone.functions.text import dir_name
 from siltstone.operators import graph as G
 from siltstone.operators.search import top_per
 from siltstone.plans.registry import query
-from siltstone.plans.views import CALLS, DIR, FI, INDEG, S, TX, calls, fil, raw_calls, sym, texts
+from siltstone.plans.views import CALLS, DIR, FI, FLAT, INDEG, S, TX, bare, calls, fil, flat_files, flat_texts, raw_calls, sym, texts
+from siltstone.session import Stage
 from siltstone.sources.tables import table
 
 EDGES = f"""{S}, {FI}, e AS (SELECT repository_id AS src, id AS dst, 'contains' AS type FROM f WHERE repository_id IN (SELECT id FROM repositories)
@@ -104,10 +106,13 @@ def call_in_degree(spark, base):
     return G.call_in_degree(calls(spark, base), sym(spark, base, "repository_id", "name"))
 
 
-def _target(spark, base):
-    """The most called name (the first of those by name)."""
-    top = calls(spark, base).groupBy("callee_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "callee_name").first()
-    return top.callee_name if top else ""
+def _called(spark, base):
+    """The calls, written once, and the most called name (the first by name) as
+    a table of one row: the questions below read both several times."""
+    stage = Stage(spark, "impact")
+    c = stage.write(calls(spark, base).select("repository_id", "caller", "callee_name"), "calls")
+    top = c.groupBy(F.col("callee_name").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(1)
+    return c, stage.write(top.select("name"), "target")
 
 
 _REACH = f"""WITH RECURSIVE {CALLS}, t AS (SELECT callee_name AS name FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
@@ -119,30 +124,39 @@ direct AS (SELECT DISTINCT c.repository_id, c.caller AS id FROM c WHERE callee_n
 
 
 def _reached(spark, base):
-    return G.transitive_callers(calls(spark, base), sym(spark, base, "repository_id", "name"), _target(spark, base))
+    c, target = _called(spark, base)
+    return c, target, G.transitive_callers(c, sym(spark, base, "repository_id", "name"), target)
+
+
+def _named(frame, target, column="name"):
+    return frame.join(F.broadcast(target.withColumnRenamed("name", column)), column, "left_semi")  # one row
 
 
 @query("transitive_callers", f"{_REACH} SELECT repository_id, id FROM found")
 def transitive_callers(spark, base):
-    return _reached(spark, base).select("repository_id", "id")
+    return _reached(spark, base)[2].select("repository_id", "id")
+
+
+def _direct(c, target):
+    return _named(c, target, "callee_name").select("repository_id", F.col("caller").alias("id")).distinct()
 
 
 @query("impact_direct", f"{_REACH} SELECT repository_id, id FROM direct")
 def impact_direct(spark, base):
-    return calls(spark, base).where(F.col("callee_name") == _target(spark, base)).select("repository_id", F.col("caller").alias("id")).distinct()
+    return _direct(*_called(spark, base))
 
 
 @query("impact_indirect", f"{_REACH} SELECT repository_id, id FROM found WHERE id NOT IN (SELECT id FROM direct) AND id NOT IN (SELECT id FROM s WHERE name = (SELECT name FROM t))")
 def impact_indirect(spark, base):
-    name = _target(spark, base)
-    far = _reached(spark, base).join(impact_direct(spark, base), ["repository_id", "id"], "left_anti")
-    return far.join(sym(spark, base, "name").where(F.col("name") == name), "id", "left_anti").select("repository_id", "id")
+    c, target, reached = _reached(spark, base)
+    far = reached.join(_direct(c, target), ["repository_id", "id"], "left_anti")
+    return far.join(_named(sym(spark, base, "name"), target), "id", "left_anti").select("repository_id", "id")
 
 
 def _affected(spark, base):
+    _, target, reached = _reached(spark, base)
     s = sym(spark, base, "repository_id", "name", "path")
-    hit = _reached(spark, base).select("id").union(s.where(F.col("name") == _target(spark, base)).select("id")).distinct()
-    return s.join(hit, "id", "left_semi")
+    return s.join(reached.select("id").union(_named(s, target).select("id")).distinct(), "id", "left_semi")
 
 
 _AFF = _REACH + ", aff AS (SELECT s.* FROM s WHERE id IN (SELECT id FROM found) OR name = (SELECT name FROM t))"
@@ -180,10 +194,25 @@ def symbol_context(spark, base):
     )
 
 
-IMPORTS = TX + """, py AS (SELECT repository_id, path, language, unnest(list_distinct(list_concat(regexp_extract_all(content, '(?m)^from ([A-Za-z_][A-Za-z0-9_.]*) import ', 1),
-regexp_extract_all(content, '(?m)^import ([A-Za-z_][A-Za-z0-9_.]*)[ \\t]*\\r?$', 1)))) AS module FROM x WHERE language = 'python'),
-js AS (SELECT repository_id, path, language, unnest(list_distinct(regexp_extract_all(content, '(?m)^import [^;\\n]*from ["'']([^"''\\n]+)["'']', 1))) AS module FROM x WHERE language IN ('javascript', 'typescript')),
-imports AS (SELECT * FROM py UNION ALL SELECT * FROM js)"""
+def _pattern(p):
+    return "'" + p.replace("'", "''") + "'"
+
+
+def _plain(code):
+    return f"regexp_replace({code}, " + _pattern(f"({T._STRING}|{T._QUOTED}|`[^`]*`)|{T._SLASHED}") + ", '\\1', 'g')"
+
+
+def _imports(source):
+    """SQL of the imports of a table of texts."""
+    return f"""b0 AS (SELECT repository_id, path, language, {bare("content", "language")} AS bare, {_plain("content")} AS plain FROM {source}),
+mods AS (SELECT repository_id, path, language, CASE WHEN language = 'python' THEN list_concat(regexp_extract_all(bare, {_pattern(G.PY_FROM)}, 1),
+list_filter(list_transform(flatten(list_transform(regexp_extract_all(bare, {_pattern(G.PY_IMPORT)}, 1), lambda y: string_split(y, ','))), lambda y: regexp_extract(y, '^[ \\t]*([A-Za-z_][A-Za-z0-9_.]*)', 1)), lambda y: y <> ''))
+WHEN language IN ('javascript', 'typescript') THEN regexp_extract_all(plain, {_pattern(G.JS_IMPORT)}, 1)
+WHEN language = 'go' THEN list_transform(list_concat(regexp_extract_all(plain, {_pattern(G.GO_IMPORT)}, 1), flatten(list_transform(regexp_extract_all(plain, {_pattern(G.GO_BLOCK)}, 1), lambda y: regexp_extract_all(y, '"[^"\\n]+"')))), lambda y: trim(y, '"')) END AS ms FROM b0),
+imports AS (SELECT repository_id, path, language, unnest(list_distinct(ms)) AS module FROM mods)"""
+
+
+IMPORTS = TX + ", " + _imports("x")
 
 
 @query("extract_imports", f"WITH {IMPORTS} SELECT repository_id, path, language, module FROM imports")
@@ -192,19 +221,17 @@ def extract_imports(spark, base):
 
 
 def _resolved(spark, base):
-    """Imports resolved against the repository's files, and Python modules also
-    next to the importing file (imports there name a sibling)."""
-    f = fil(spark, base, "repository_id", "path")
-    return G.resolve_imports(G.extract_imports(texts(spark, base)), f)
+    """Imports resolved against the files of the repository, in the flat tree."""
+    return G.resolve_imports(G.extract_imports(flat_texts(spark, base)), flat_files(spark, base))
 
 
-_RESOLVED = IMPORTS + """, b AS (SELECT repository_id, path, language, module, CASE WHEN language = 'python' THEN replace(module, '.', '/')
-WHEN starts_with(module, './') AND NOT contains(substr(module, 3), './') THEN CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') || '/' ELSE '' END || substr(module, 3)
-WHEN starts_with(module, '../') AND NOT contains(substr(module, 4), './') THEN CASE WHEN regexp_matches(path, '/.*/') THEN regexp_replace(path, '/[^/]*/[^/]*$', '') || '/' ELSE '' END || substr(module, 4) END AS base FROM imports),
+_RESOLVED = TX + FLAT + ", " + _imports("fx") + """, b AS (SELECT DISTINCT repository_id, path, language, module, CASE WHEN language = 'python' THEN replace(module, '.', '/')
+WHEN language IN ('javascript', 'typescript') AND starts_with(module, '.') THEN regexp_replace(module, '^(\\.{1,2}/)+', '') END AS base FROM imports),
 forms AS (SELECT 'python' AS kind, unnest(['.py', '/__init__.py']) AS form, unnest([0, 1]) AS pos UNION ALL
 SELECT 'js', unnest(['.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx', '/index.mjs', '/index.cjs']), unnest(range(12))),
-hit AS (SELECT b.repository_id, b.path, b.module, base || form AS target, pos FROM b JOIN forms ON kind = CASE WHEN language = 'python' THEN 'python' ELSE 'js' END WHERE base IS NOT NULL AND (b.repository_id, base || form) IN (SELECT repository_id, path FROM f)),
-resolved AS (SELECT repository_id, path, module, arg_min(target, pos) AS target FROM hit GROUP BY ALL)"""
+hit AS (SELECT b.repository_id, b.path, b.module, base || form AS target, pos FROM b JOIN forms ON kind = CASE WHEN language = 'python' THEN 'python' ELSE 'js' END WHERE base IS NOT NULL AND (b.repository_id, base || form) IN (SELECT repository_id, path FROM ff)),
+resolved AS (SELECT repository_id, path, module, arg_min(target, pos) AS target FROM hit GROUP BY ALL),
+me AS (SELECT DISTINCT repository_id, path AS src, target AS dst FROM resolved WHERE path <> target)"""
 
 
 @query("resolve_imports", f"WITH {_RESOLVED} SELECT repository_id, path, module, target FROM resolved")
@@ -212,46 +239,59 @@ def resolve_imports(spark, base):
     return _resolved(spark, base).select("repository_id", "path", "module", "target")
 
 
-@query("orphan_modules", f"WITH {_RESOLVED}, {S} SELECT repository_id, path FROM f WHERE (repository_id, path) NOT IN (SELECT repository_id, target FROM resolved WHERE path <> target) AND (repository_id, path) NOT IN (SELECT repository_id, path FROM s WHERE name = 'main' AND type IN ('function', 'method'))")
+@query("orphan_modules", f"WITH {_RESOLVED}, {S} SELECT repository_id, path FROM ff WHERE (repository_id, path) NOT IN (SELECT repository_id, dst FROM me) AND (repository_id, path) NOT IN (SELECT 'all', regexp_extract(path, '[^/]*$') FROM s WHERE name = 'main' AND type IN ('function', 'method'))")
 def orphan_modules(spark, base):
-    used = _resolved(spark, base).where("path <> target").select("repository_id", F.col("target").alias("path"))
-    main = sym(spark, base, "repository_id", "path", where="name = 'main' and type in ('function', 'method')").select("repository_id", "path")
-    return fil(spark, base, "repository_id", "path").select("repository_id", "path").join(used.union(main).distinct(), ["repository_id", "path"], "left_anti")
-
-
-def _module_edges(spark, base):
-    """Files of a repository as nodes; an edge where a file imports the stem of
-    another file of the repository."""
-    f = fil(spark, base, "repository_id", "path")
-    stem = F.regexp_extract(F.col("path"), r"([^/.]+)[^/]*$", 1)
-    imports = G.extract_imports(texts(spark, base)).select(
-        "repository_id", F.col("path").alias("src"), F.regexp_extract("module", r"([^/.]+)$", 1).alias("stem")
-    )
-    return imports.join(f.select("repository_id", F.col("path").alias("dst"), stem.alias("stem")), ["repository_id", "stem"]).where("src <> dst").select("repository_id", "src", "dst").distinct()
+    used = G.module_edges(_resolved(spark, base)).select("repository_id", F.col("dst").alias("path"))
+    main = sym(spark, base, "path", where="name = 'main' and type in ('function', 'method')").select(
+        F.lit("all").alias("repository_id"), T.base_name(F.col("path")).alias("path"))
+    return flat_files(spark, base).join(used.union(main).distinct(), ["repository_id", "path"], "left_anti")
 
 
-_MODULES = IMPORTS + """, me AS (SELECT DISTINCT i.repository_id, i.path AS src, f.path AS dst FROM imports i JOIN f ON f.repository_id = i.repository_id
-AND regexp_extract(f.path, '([^/.]+)[^/]*$', 1) = regexp_extract(i.module, '([^/.]+)$', 1) WHERE i.path <> f.path)"""
-
-
-@query("most_depended", f"WITH {_MODULES} SELECT repository_id, dst AS path, count(*) AS n FROM me GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY n DESC, path) <= 10")
+@query("most_depended", f"WITH {_RESOLVED} SELECT repository_id, dst AS path, count(*) AS n FROM me GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY n DESC, path) <= 10")
 def most_depended(spark, base):
-    n = _module_edges(spark, base).groupBy("repository_id", F.col("dst").alias("path")).agg(F.count("*").alias("n"))
+    n = G.module_edges(_resolved(spark, base)).groupBy("repository_id", F.col("dst").alias("path")).agg(F.count("*").alias("n"))
     return top_per(n, ["repository_id"], [F.desc("n"), F.col("path")], 10)
 
 
-@query("import_cycles")
+# a call makes the caller's file depend on the files that define the name: edges with cycles, made of the tables
+_CALLED = f"""{CALLS}, few AS (SELECT repository_id, name FROM s GROUP BY 1, 2 HAVING count(*) <= 3),
+me AS (SELECT DISTINCT u.repository_id, cs.path AS src, d.path AS dst FROM c u JOIN s cs ON cs.id = u.caller JOIN few ON few.repository_id = u.repository_id AND few.name = u.callee_name
+JOIN s d ON d.repository_id = u.repository_id AND d.name = u.callee_name WHERE cs.path <> d.path)"""
+_CYCLES = """walk AS (SELECT repository_id, [src, dst] AS nodes FROM me WHERE dst > src UNION ALL
+SELECT w.repository_id, list_append(w.nodes, me.dst) FROM walk w JOIN me ON me.repository_id = w.repository_id AND me.src = w.nodes[-1] WHERE me.dst > w.nodes[1] AND NOT list_contains(w.nodes, me.dst)),
+cyc AS (SELECT w.repository_id, w.nodes AS cycle FROM walk w JOIN me ON me.repository_id = w.repository_id AND me.src = w.nodes[-1] AND me.dst = w.nodes[1])
+SELECT repository_id, array_to_string(cycle, ' > ') AS cycle FROM cyc QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY len(cycle), cycle) <= 10"""
+
+
+def file_dependencies(spark, base):
+    """Distinct ``repository_id, src, dst`` between files by calls of names that
+    at most three symbols of the repository have."""
+    s = sym(spark, base, "repository_id", "name", "path")
+    few = s.groupBy("repository_id", "name").agg(F.count("*").alias("n")).where("n <= 3").drop("n")
+    uses = calls(spark, base).join(s.select("repository_id", F.col("id").alias("caller"), F.col("path").alias("src")), ["repository_id", "caller"])
+    defs = s.join(few, ["repository_id", "name"], "left_semi").select("repository_id", F.col("name").alias("callee_name"), F.col("path").alias("dst")).distinct()
+    pairs = uses.select("repository_id", "src", "callee_name").distinct().join(defs, ["repository_id", "callee_name"])
+    return pairs.where("src <> dst").select("repository_id", "src", "dst").distinct()
+
+
+@query("import_cycles", f"WITH RECURSIVE {_RESOLVED}, {_CYCLES}")
 def import_cycles(spark, base):
-    return G.import_cycles(_module_edges(spark, base))
+    return _joined(G.import_cycles(G.module_edges(_resolved(spark, base))))
+
+
+@query("dependency_cycles", f"WITH RECURSIVE {_CALLED}, {_CYCLES}")
+def dependency_cycles(spark, base):
+    return _joined(G.import_cycles(file_dependencies(spark, base)))
+
+
+def _joined(cycles):
+    return cycles.select("repository_id", F.array_join("cycle", " > ").alias("cycle"))
 
 
 @query("nearest_enclosing", f"""WITH {S} SELECT c.id, arg_max(p.id, struct_pack(a := p.start_line, b := p.end_line, c := p.id)) AS encloser FROM s c JOIN s p ON c.file_id = p.file_id
 AND p.start_line <= c.start_line AND p.end_line >= c.end_line AND (p.start_line <> c.start_line OR p.end_line <> c.end_line) GROUP BY 1""")
 def nearest_enclosing(spark, base):
-    s = sym(spark, base, "file_id", "start_line", "end_line")
-    p = s.select("file_id", F.col("id").alias("p"), F.col("start_line").alias("ps"), F.col("end_line").alias("pe"))
-    hit = s.join(p, "file_id").where("ps <= start_line and pe >= end_line and (ps <> start_line or pe <> end_line)")
-    return hit.groupBy("id").agg(F.max_by("p", F.struct("ps", "pe", "p")).alias("encloser"))
+    return G.nearest_enclosing(sym(spark, base, "file_id", "start_line", "end_line"))
 
 
 @query("resolve_parents", f"WITH {S} SELECT s.id, CASE WHEN s.type = 'function' AND p.type IN ('class', 'interface', 'struct', 'trait') THEN 'method' WHEN s.type = 'global' AND regexp_matches(s.name, '^[A-Z][A-Z0-9_]*$') THEN 'const' ELSE s.type END AS kind FROM s LEFT JOIN s p ON s.parent_id = p.id WHERE NOT (s.type = 'global' AND p.id IS NOT NULL)")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.text import blake2b
 from siltstone.operators import ingest as I
 from siltstone.operators import search as Q
 from siltstone.plans.registry import query
@@ -53,6 +54,13 @@ def content_hash(spark, base):
     return texts(spark, base).select("file_id", F.md5("content").alias("hash"), F.sha2("content", 256).alias("sha"))
 
 
+@query("file_hash", f"WITH {TX} SELECT x.file_id, f.hash FROM x JOIN f ON f.id = x.file_id WHERE f.hash IS NOT NULL")
+def file_hash(spark, base):
+    """BLAKE2b-128 of the contents; the SQL reads the hashes the table holds."""
+    known = fil(spark, base, "hash").where("hash is not null").select(F.col("id").alias("file_id"))
+    return texts(spark, base).join(known, "file_id", "left_semi").select("file_id", blake2b("content").alias("hash"))
+
+
 def _scan_and_manifest(spark, base):
     """The files now, and as they were with unified line ends."""
     x = texts(spark, base)

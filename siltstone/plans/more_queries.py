@@ -3,7 +3,6 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import clamp
 from siltstone.operators import analytics as A
 from siltstone.operators import enrich as E
 from siltstone.operators.extract import extract_symbols
@@ -74,10 +73,16 @@ def llm_overlay(spark, base):
     return E.overlay(plain, d.select("doc_id", F.col("title").alias("summary")), "doc_id", ["summary"])
 
 
-@query("metrics_struct", "SELECT event_id, least(1.0, greatest(0.0, coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0.0) / 100.0)) AS complexity FROM events")
+_METRIC_SQL = ", ".join(f"least(1.0, greatest(0.0, coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0.0) / {10.0 * (i + 1)})) AS {m}" for i, m in enumerate(E.METRICS))
+
+
+@query("metrics_struct", f"SELECT event_id, {_METRIC_SQL} FROM events")
 def metrics_struct(spark, base):
+    """The ten scores of a model's reply, each a share of the event's number."""
+    reply = F.to_json(F.struct(*[(F.coalesce("j.k", F.lit(0.0)) / (10.0 * (i + 1))).alias(m) for i, m in enumerate(E.METRICS)]))
     e = table(spark, base, "events").select("event_id", F.from_json("props", "k double").alias("j"))
-    return e.select("event_id", clamp(F.coalesce("j.k", F.lit(0.0)) / 100.0).alias("complexity"))
+    e = e.select("event_id", F.from_json(reply, E.METRIC_SCHEMA).alias("m"))
+    return e.select("event_id", E.metrics(F.col("m")).alias("m")).select("event_id", "m.*")
 
 
 @query("retrieve_filtered", f"WITH {S} SELECT id FROM s WHERE lower(trim(language)) = 'rust'  AND type = 'method'")
@@ -132,7 +137,7 @@ named AS (SELECT id, name, CAST(score AS DOUBLE) AS score FROM sc WHERE score IS
 
 
 def _named(spark, base):
-    s = sym(spark, base, "name", "type", "path", "start_line", "language", where=F.contains(F.lower("name"), F.lit("load")))
+    s = sym(spark, base, "name", "type", "path", "start_line", "language")
     return symbol_search_op(s, "load", fuzzy=False)
 
 

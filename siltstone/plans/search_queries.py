@@ -7,6 +7,7 @@ from siltstone.operators import retrieval as R
 from siltstone.operators import search as Q
 from siltstone.operators import vectors as V
 from siltstone.operators.graph import contains_edges
+from siltstone.plans.graph_queries import EDGES
 from siltstone.plans.ingest_queries import LINES
 from siltstone.plans.registry import query
 from siltstone.plans.views import S, fil, sym, texts
@@ -59,12 +60,12 @@ def enclosing_symbol(spark, base):
 
 
 _SCORE = """n AS (SELECT id, name, path, start_line, type, lower(name) AS low FROM s), sc AS (SELECT *, CASE WHEN low = 'parse' THEN 1.0
-WHEN starts_with(low, 'parse') THEN round(0.9 - 0.1 * (length(low) - 5) / greatest(length(low), 1), 4) END AS score FROM n)"""
+WHEN starts_with(low, 'parse') THEN round(0.9 - 0.1 * (length(low) - 5) / greatest(length(low), 1), 4) WHEN contains(low, 'parse') THEN 0.7 END AS score FROM n)"""
 
 
 @query("symbol_search_exact_prefix", f"WITH {S}, {_SCORE} SELECT id, name, CAST(score AS DOUBLE) AS score FROM sc WHERE score IS NOT NULL ORDER BY score DESC, length(name), path, start_line, id LIMIT 20")
 def symbol_search_exact_prefix(spark, base):
-    s = sym(spark, base, "name", "type", "path", "start_line", "language", where=F.startswith(F.lower("name"), F.lit("parse")))
+    s = sym(spark, base, "name", "type", "path", "start_line", "language")
     return Q.symbol_search(s, "parse", fuzzy=False).select("id", "name", "score")
 
 
@@ -136,8 +137,10 @@ def vector_topk(spark, base):
 FROM v, q WHERE label = 1 ORDER BY list_cosine_similarity(v.e, q.e) DESC, vec_id LIMIT 10""")
 def vector_search_filtered(spark, base):
     v = table(spark, base, "embeddings")
-    first = v.orderBy("vec_id").select("embedding").first()  # one query vector
-    return V.vector_topk(v, first.embedding, 10, F.col("label") == 1).withColumn("score", F.round("score", 6))
+    first = v.groupBy().agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("q"))  # one query vector
+    hit = v.where("label = 1").crossJoin(F.broadcast(first))
+    score = T.cosine(F.col("embedding").cast("array<double>"), F.col("q"))
+    return hit.select("vec_id", score.alias("s")).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
 
 
 @query("cosine_pair", f"""WITH {_VEC}, c AS (SELECT label, min(vec_id) AS head FROM v GROUP BY 1) SELECT v.vec_id, round(list_cosine_similarity(v.e, h.e), 6) AS score
@@ -194,25 +197,62 @@ def _code_hits(spark, base):
 
 def _sources(spark, base):
     s = sym(spark, base, "name", "type", "path", "start_line", "language", "repository_id", "end_line", "updated_at", "file_id", "parent_id")
-    named = Q.symbol_search(s.where(F.startswith(F.lower("name"), F.lit("parse"))), "parse", limit=R.SYMBOL_LIMIT, fuzzy=False).select("id", "score")
+    named = Q.symbol_search(s, "parse", limit=R.SYMBOL_LIMIT, fuzzy=False).select("id", "score")
     t = V.hash_embedding(s, "id", "name")
     q = V.hash_embedding(spark.createDataFrame([("q", "parse harbor ledger")], "id string, name string"), "id", "name").select("bucket", F.col("value").alias("w"))
-    near = t.join(F.broadcast(q), "bucket").groupBy("id").agg(F.sum(F.col("value") * F.col("w")).alias("score")).orderBy(F.desc("score"), "id").limit(25)
+    near = t.join(F.broadcast(q), "bucket").groupBy("id").agg(F.round(F.sum(F.col("value") * F.col("w")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(25)
     hits = _code_hits(spark, base).orderBy("id", "line_no").limit(R.KEYWORD_LIMIT).withColumnRenamed("id", "symbol_id")
     return s, named, near, R.keyword_signal(hits)
 
 
-@query("merge_sources")
+_HASHED = """CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 256 AS bucket, CASE WHEN CAST(('0x' || substr(md5(t), 9, 1)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sign"""
+_BLEND = f"""{EDGES}, {_SCORE}, named AS (SELECT id, score FROM sc WHERE score IS NOT NULL ORDER BY score DESC, length(name), path, start_line, id LIMIT 25),
+tk AS (SELECT id, unnest(list_transform(regexp_extract_all(name, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS t FROM s), tn AS (SELECT id, t, count(*) AS n FROM tk GROUP BY ALL),
+tb AS (SELECT id, bucket, CAST(sum(sign * n) AS DOUBLE) AS v FROM (SELECT *, {_HASHED} FROM tn) GROUP BY ALL), tl AS (SELECT id, sqrt(sum(v * v)) AS len FROM tb GROUP BY 1),
+qb AS (SELECT bucket, CAST(sum(sign) AS DOUBLE) AS w FROM (SELECT *, {_HASHED} FROM (SELECT unnest(['parse', 'harbor', 'ledger']) AS t)) GROUP BY 1), ql AS (SELECT sqrt(sum(w * w)) AS len FROM qb),
+near AS (SELECT tb.id, round(sum(tb.v / tl.len * qb.w / (SELECT len FROM ql)), 6) AS score FROM tb JOIN tl USING (id) JOIN qb USING (bucket) WHERE tb.v <> 0 AND qb.w <> 0 GROUP BY 1 ORDER BY score DESC, 1 LIMIT 25),
+cl AS (SELECT id, unnest(string_split(regexp_replace(code, '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(code, '\\n$', ''), chr(10)), 1) AS no FROM s WHERE code <> ''),
+ch AS (SELECT id FROM cl WHERE contains(lower(line), 'parse(') ORDER BY id, no LIMIT 50), kw AS (SELECT id, least(1.0, 0.34 * count(*)) AS score FROM ch GROUP BY 1),
+u AS (SELECT id, 'symbol' AS source, CAST(score AS DOUBLE) AS score FROM named UNION ALL SELECT id, 'vector', score FROM near UNION ALL SELECT id, 'keyword', CAST(score AS DOUBLE) FROM kw)"""
+
+
+def _merged(of, names):
+    pick = ", ".join(f"coalesce(max(score) FILTER (WHERE source = '{n}'), 0.0) AS {n}" for n in names)
+    return f"SELECT id, {pick}, list_sort(list(DISTINCT source)) AS sources FROM {of} GROUP BY 1"
+
+
+@query("merge_sources", f"WITH {_BLEND} SELECT id, symbol, vector, keyword, array_to_string(sources, ',') AS sources FROM ({_merged('u', ('symbol', 'vector', 'keyword'))})")
 def merge_sources(spark, base):
     _, named, near, keyword = _sources(spark, base)
-    return R.merge_sources({"symbol": named, "vector": near, "keyword": keyword})
+    merged = R.merge_sources({"symbol": named, "vector": near, "keyword": keyword})
+    return merged.withColumn("sources", F.array_join("sources", ","))
+
 
+_RANKED = f"""{_BLEND}, m1 AS ({_merged('u', ('symbol', 'vector', 'keyword'))}), seeds AS (SELECT id FROM m1 ORDER BY symbol + vector DESC, id LIMIT 5),
+u2 AS (SELECT * FROM u UNION ALL SELECT id, 'graph', 0.5 FROM (SELECT dst AS id FROM edges WHERE src IN (SELECT id FROM seeds) UNION SELECT src FROM edges WHERE dst IN (SELECT id FROM seeds)) WHERE id IN (SELECT id FROM s)),
+m2 AS (SELECT m.*, s.name, s.path, s.start_line, CASE WHEN count(*) OVER () = 1 THEN 1.0 ELSE (row_number() OVER (ORDER BY s.updated_at NULLS FIRST, m.id) - 1) / (count(*) OVER () - 1) END AS recency
+FROM ({_merged('u2', ('symbol', 'vector', 'keyword', 'graph'))}) m JOIN s USING (id))
+SELECT id, name, path, start_line, round((0.30 * symbol + 0.35 * vector + 0.20 * keyword + 0.15 * graph + 0.05 * recency) * (1 + 0.08 * (len(sources) - 1)), 4) AS score, array_to_string(sources, ',') AS sources
+FROM m2 ORDER BY score DESC, path, start_line, id LIMIT 10"""
 
-@query("hybrid_retrieve")
+
+@query("hybrid_retrieve", f"WITH {_RANKED}")
 def hybrid_retrieve(spark, base):
     s, named, near, keyword = _sources(spark, base)
     edges = contains_edges(table(spark, base, "repositories"), fil(spark, base, "repository_id"), s)
-    return R.hybrid_retrieve(s, edges, named, near, keyword)
+    return R.hybrid_retrieve(s, edges, named, near, keyword).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("vector_count", "SELECT len(embedding) AS dimension, count(*) AS n FROM embeddings GROUP BY 1")
+def vector_count(spark, base):
+    return V.dimensions(table(spark, base, "embeddings"))
+
+
+@query("vector_table", "SELECT vec_id, len(embedding) AS dimension FROM embeddings")
+def vector_table(spark, base):
+    """The vector table with its dimension checked row by row."""
+    v = V.of_dimension(table(spark, base, "embeddings"), 64)
+    return v.select("vec_id", F.size("embedding").alias("dimension"))
 
 
 @query("keyword_signal", f"""WITH {S}, u AS (SELECT id, string_split(code, chr(10)) AS ls FROM s WHERE code <> ''), n AS (SELECT id, len(list_filter(ls, lambda x: contains(lower(x), 'parse('))) AS n FROM u)

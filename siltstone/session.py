@@ -31,12 +31,14 @@ def local_session(cores: int | str = 8, memory: str = "12g", **extra: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session sets none (tests, a laptop) a folder of this machine
-    is made, and kept for the session.
+    Only where the session sets none and runs on this machine alone (tests, a
+    laptop) a folder of this machine is made, and kept for the session.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     where = spark.conf.get("siltstone.shared.dir", conf)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("siltstone.shared.dir", where)
     return where.rstrip("/")

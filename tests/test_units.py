@@ -103,7 +103,11 @@ def test_extract_symbols(spark):
             ("r", "a.go", "go", 'package a\n\nfunc (s *S) Login(x string) error {\n\ts := "}"\n\treturn nil\n}\n\ntype S struct {\n\tA int\n}\n'),
             ("r", "a.rs", "rust", "pub fn f() { }\nfn g() { let x = '{'; }\npub trait T { fn h(); }\n"),
             ("r", "a.ts", "typescript", "export interface I { a: string }\nexport enum E { A }\nclass C {\n  run(a: string): void {\n    if (a) { }\n  }\n}\nconst f = (a) => { return a; };\n"),
-            ("r", "A.java", "java", "public class A {\n  private int f(int x) {\n    return x;\n  }\n}\n")]
+            ("r", "A.java", "java", "public class A {\n  private int f(int x) {\n    return x;\n  }\n}\n"),
+            ("r", "a.c", "C", "/*\nint no(void) {\n}\n*/\nstatic int add(int a, int b) {\n  if (a) { return b; }\n  return a;\n}\nstruct P { int x; };\nenum E { A };\n"),
+            ("r", "a.cpp", "C++", "namespace n {\nclass Q : public B {\n  int run(int a) const {\n    return a;\n  }\n};\n}\nint Q::go(int x)\n{\n  return x;\n}\n"),
+            ("r", "a.cs", "C#", "namespace N {\n  public interface I { }\n  public class K : I {\n    private async Task<int> Run(int a) {\n      return a;\n    }\n  }\n}\n"),
+            ("r", "a.php", "PHP", "<?php\n// function no() {}\nclass K {\n  public function run($a) { return '}'; }\n}\nfunction top() { }\ntrait T { }\n")]
     got = extract_symbols(spark.createDataFrame(rows, "repository_id string, path string, language string, content string")).collect()
     by = {(r.path, r.name): r for r in got}
     ids = {r.id: r.name for r in got}
@@ -112,6 +116,10 @@ def test_extract_symbols(spark):
     assert by["a.go", "Login"].type == "method" and by["a.go", "Login"].visibility == "public" and by["a.go", "S"].type == "struct"
     assert by["a.rs", "f"].visibility == "public" and by["a.rs", "g"].visibility == "private" and by["a.rs", "T"].type == "trait"
     assert by["a.ts", "run"].type == "method" and by["a.ts", "I"].type == "interface" and by["a.ts", "f"].type == "function"
+    assert {(n, by["a.c", n].type) for p, n in by if p == "a.c"} == {("add", "function"), ("P", "struct"), ("E", "enum")}
+    assert {(n, by["a.cpp", n].type) for p, n in by if p == "a.cpp"} >= {("n", "namespace"), ("Q", "class"), ("run", "method")} and ids[by["a.cpp", "run"].parent_id] == "Q"
+    assert {(n, by["a.cs", n].type) for p, n in by if p == "a.cs"} == {("N", "namespace"), ("I", "interface"), ("K", "class"), ("Run", "method")}
+    assert {(n, by["a.php", n].type) for p, n in by if p == "a.php"} == {("K", "class"), ("run", "method"), ("top", "function"), ("T", "trait")}
     assert by["A.java", "f"].visibility == "private" and ids[by["A.java", "f"].parent_id] == "A"
     assert not [k for k in by if k[0] in ("bad.py", "x.yaml", "n.py")]
 
@@ -158,16 +166,58 @@ def test_cycles_and_imports(spark):
     assert got == {("m.py", "pkg.a"): "pkg/a.py", ("m.py", "pkg"): "pkg/__init__.py", ("web/b.js", "./x"): "web/x/index.ts", ("web/x/y.ts", "../b"): "web/b.js"}
 
 
+def test_cycles_of_any_length(spark):
+    ring = [("r", f"n{i:02}", f"n{(i + 1) % 12:02}") for i in range(12)] + [("r", "n03", "out"), ("in", "a", "b")]
+    many = [("q", a, b) for a in "abcdef" for b in "abcdef" if a != b]
+    e = spark.createDataFrame(ring + many, "repository_id string, src string, dst string")
+    got = {}
+    for r in G.import_cycles(e).collect():
+        got.setdefault(r.repository_id, []).append(r.cycle)
+    assert got["r"] == [[f"n{i:02}" for i in range(12)]] and "in" not in got
+    assert sorted(got["q"]) == sorted([a, b] for a in "abcdef" for b in "abcdef" if a < b)[:10]
+
+
+def test_long_chains_of_callers(spark):
+    """A chain of 70 callers is followed to its end."""
+    rows = [("r", f"s{i:03}", f"f{i:03}", "function", f"def f{i:03}():\n    f{i - 1:03}()" if i else "def f000(): pass", "Python") for i in range(71)]
+    s = spark.createDataFrame(rows, "repository_id string, id string, name string, type string, code string, language string")
+    calls = G.resolved_calls(G.extract_calls(s), s)
+    got = {r.id: r.distance for r in G.transitive_callers(calls, s, s.select(F.lit("f000").alias("name"))).collect()}
+    assert got == {f"s{i:03}": i for i in range(1, 71)}
+
+
+def test_calls_and_imports_outside_texts(spark):
+    code = 'def f():\n    """g() in words"""\n    x = "h()"  # i()\n    return j(k)\n'
+    s = spark.createDataFrame([("r", "1", "f", "function", code, " Python "), ("r", "2", "f", "function", "func f() { a(`b()`, 'c') /* d() */ }", "go"), ("r", "3", "f", "function", None, "go")],
+                              "repository_id string, id string, name string, type string, code string, language string")
+    assert {(r.caller, r.callee_name) for r in G.extract_calls(s).collect()} == {("1", "j"), ("2", "a")}
+    long = "x = \"" + "\\\\n" * 20000 + "\"\nf()\n"
+    assert one(spark, T.without_texts(F.lit(long), F.lit("python"))) == "x =  \nf()\n"
+    files = [("r", "a.py", "Python", 'import os, a.b as c\nfrom d.e import f\nfrom . import g\ntry:\n    import h\nexcept E: pass\n"""\nimport no\n"""\n# import no\n'),
+             ("r", "a.ts", "typescript", "import {\n  a,\n  b\n} from './m';\nimport './side';\nimport x from \"y\"; // import z from 'no'\nconst q = import('dyn');\n"),
+             ("r", "a.go", "Go", 'package a\n\nimport "fmt"\nimport (\n\tx "a/b"\n\t// "no"\n\t"c"\n)\n'), ("r", "b.rs", "rust", "use a;"), ("r", "c.py", "python", None)]
+    got = {}
+    for r in G.extract_imports(spark.createDataFrame(files, "repository_id string, path string, language string, content string")).collect():
+        got.setdefault(r.path, set()).add(r.module)
+    assert got == {"a.py": {"os", "a.b", "d.e", "h"}, "a.ts": {"./m", "./side", "y"}, "a.go": {"fmt", "a/b", "c"}}
+
+
+def test_nearest_enclosing(spark):
+    rows = [("f", "a", 1, 20), ("f", "b", 2, 9), ("f", "c", 3, 4), ("f", "d", 8, 12), ("f", "e", 9, 9), ("f", "e2", 9, 9), ("f", "n", None, 3), ("g", "x", 3, 4)]
+    got = {r.id: r.encloser for r in G.nearest_enclosing(spark.createDataFrame(rows, "file_id string, id string, start_line int, end_line int")).collect()}
+    assert got == {"b": "a", "c": "b", "d": "a", "e": "d", "e2": "d"}
+
+
 def test_calls_and_dead_code(spark):
     rows = [("r", "1", "helper", "function", "def helper():\n  pass", []), ("r", "2", "uses_helper", "function", "def uses_helper():\n  helper()", []), ("r", "3", "also", "function", "def also():\n  helper()\n  uses_helper()", []),
             ("r", "4", "orphan", "function", "def orphan(): pass", []), ("r", "5", "size", "method", "def size(self): pass", ["property"]), ("r", "6", "main", "function", "def main():\n  also()", [])]
-    s = spark.createDataFrame([(*r, "p.py", 1) for r in rows], "repository_id string, id string, name string, type string, code string, decorators array<string>, path string, start_line int")
+    s = spark.createDataFrame([(*r, "p.py", 1) for r in rows], "repository_id string, id string, name string, type string, code string, decorators array<string>, path string, start_line int").withColumn("language", F.lit("Python"))
     calls = G.resolved_calls(G.extract_calls(s), s)
     deg = G.call_in_degree(calls, s)
     assert {r.id: r.callers for r in deg.collect()} == {"1": 2, "2": 1, "3": 1, "4": 0, "5": 0, "6": 0}
-    reach = {r.id: r.distance for r in G.transitive_callers(calls, s, "helper").collect()}
+    reach = {r.id: r.distance for r in G.transitive_callers(calls, s, s.select(F.lit("helper").alias("name"))).collect()}
     assert reach == {"2": 1, "3": 1, "6": 2}
-    assert G.transitive_callers(calls, s, "nobody").count() == 0
+    assert G.transitive_callers(calls, s, s.select(F.lit("nobody").alias("name"))).count() == 0
     ident = spark.createDataFrame([("r", "orphan", 1), ("r", "size", 3)], "repository_id string, name string, occurrences long")
     assert [r.name for r in A.dead_code(s, deg, ident).collect()] == ["orphan"]
     assert [(r.name, r.callers) for r in A.shared_utilities(s, deg).collect()] == [("helper", 2)]
@@ -183,6 +233,55 @@ def test_patterns(spark):
     assert got == {"UserRepository": ("Repository", 16), "Repository": (None, 1), "OrderFactory": ("Factory", 1), "PayService": ("Service", 0)}
 
 
+def test_smells_singletons_and_model_findings(spark):
+    rows = [("k1", None, "Pool", "class", "class Pool"), ("k2", None, "Port", "class", "class Port(Protocol)"), ("k3", None, "Big", "class", None)]
+    rows += [("s", "k1", "getInstance", "method", "")] + [(f"p{i}", p, f"m{i}{p}", "method", "") for p in ("k2", "k3") for i in range(12)]
+    s = spark.createDataFrame([(*r, "r", "a/b.py", 1, 3) for r in rows], "id string, parent_id string, name string, type string, signature string, repository_id string, path string, start_line int, end_line int")
+    k = {r.name: (r.singleton, r.god, r.large) for r in A.size_smells(A.class_methods(s)).collect()}
+    assert k == {"Pool": (True, False, False), "Port": (False, False, False), "Big": (False, False, True)}
+    e = spark.createDataFrame([("k1", ["Users", "Unknown"], "API"), ("k2", ["Users"], "Unknown"), ("k3", [], "")], "symbol_id string, business_domain array<string>, architecture_layer string")
+    assert {(r.category, r.title, r.confidence) for r in A.enrichment_findings(s, e).collect()} == {("business_domain", "Domain: Users", 0.6), ("architecture_layer", "Layer: API", 0.6)}
+    assert [(r.path, r.role) for r in A.file_layers(s, e).collect()] == [("a/b.py", "API")] and A.file_layers(s, e.limit(0)).first().role == "a"
+
+
+def test_blocks_of_vectors(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    data = np.round(rnd.normal(size=(60, 4)), 1)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(100, [0.0] * 4), (101, None), (102, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    unit = data.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    got = {}
+    for r in V.knn(v.where("vec_id % 9 = 0"), v, 5).collect():
+        got.setdefault(r.query_id, []).append(round(r.score, 9))
+    for q in range(0, 60, 9):
+        want = sorted((unit[q] @ unit[j] for j in range(60) if j != q), reverse=True)[:5]
+        assert sorted(got[q], reverse=True) == [round(float(x), 9) for x in want]
+    assert {r.dimension: r.n for r in V.dimensions(v).collect()} == {4: 61, 1: 1, None: 1} or V.dimensions(v).count() == 3
+    with pytest.raises(Exception, match="dimensions"):
+        V.of_dimension(v, 4).collect()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from siltstone import session
+
+    class Far:
+        master = "spark://far:7077"
+        getConf = spark.sparkContext.getConf
+
+    class Session:
+        sparkContext = Far()
+
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(Session())
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0]), (4, None), (5, [1.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in V.vector_topk(v.where("embedding is not null"), [1.0, 0.0], 2).collect()] == [1, 2]
