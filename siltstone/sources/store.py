@@ -34,8 +34,8 @@ class Store:
     def upsert(self, name: str, df: DataFrame, key: list[str], keep_first: str | None = None) -> None:
         """New rows win over stored ones with the same key in the repositories
         of `df`; `keep_first` keeps its smallest value."""
-        touched = df.select("repository_id").distinct()
-        old = self.read(name).join(F.broadcast(touched), "repository_id", "left_semi")
+        touched = df.select("repository_id").distinct()  # joined as its size asks for
+        old = self.read(name).join(touched, "repository_id", "left_semi")
         both = old.withColumn("_v", F.lit(0)).unionByName(df.withColumn("_v", F.lit(1)), allowMissingColumns=True)
         # read whole before the folders are overwritten
         stage = Stage(self.spark, "upsert")

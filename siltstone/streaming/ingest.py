@@ -2,39 +2,50 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.operators.ingest import latest_wins
+from siltstone.session import Stage
 
+BUCKETS = 64
 
-def upsert_stream(stream: DataFrame, table: str, key: list[str], version: str, checkpoint: str) -> StreamingQuery:
-    """Each batch is merged into the Parquet folder `table`: the greatest
-    version of a key wins, whatever the order of arrival, so replays and late
-    rows change nothing. The merge reads the current folder and writes the next
-    one; a small marker names the current folder, so a lost batch is repeated."""
+
+def upsert_stream(stream: DataFrame, table: str, key: list[str], version: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Each batch is merged into the Parquet folder `table`, which is partitioned
+    by a hash of the key: only the partitions that the batch touches are read and
+    overwritten. The greatest version of a key wins, whatever the order of
+    arrival, so a batch that is repeated after a failure, and late rows, change
+    nothing."""
     spark = stream.sparkSession
+    place = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        old = current(spark, table)
-        both = batch if old is None else old.unionByName(batch)
-        target = f"{table}/v={epoch}"
-        latest_wins(both, key, [version]).write.mode("overwrite").parquet(target)
+        stage = Stage(spark, "upsert")
+        new = stage.write(batch.withColumn("bucket", place), "batch")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        old = _folder(spark, table)
+        both = new if old is None else old.where(F.col("bucket").isin(touched)).unionByName(new, allowMissingColumns=True)
+        merged = stage.write(latest_wins(both, ["bucket", *key], [version]), "merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        stage.drop()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table: str) -> DataFrame | None:
-    """The newest version of a folder written by `upsert_stream`."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+def _folder(spark: SparkSession, table: str) -> DataFrame | None:
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(table)
+    except AnalysisException:  # nothing is there yet
         return None
-    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")
-            and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{table}/v={max(done)}") if done else None
+
+
+def current(spark: SparkSession, table: str) -> DataFrame | None:
+    """The rows of a folder written by `upsert_stream`, null before the first batch."""
+    df = _folder(spark, table)
+    return None if df is None else df.drop("bucket")
 
 
 def windowed_counts(events: DataFrame, stamp: str = "ts", late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
