@@ -51,6 +51,7 @@ _PY_SIGNATURE = re.compile(r"[ \t]*(?:async[ \t]+)?(?:def|class)\b")
 _PY_STRING = re.compile(
     r"([rRuU]?)(\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')", re.S
 )
+_BLANKS = re.compile(r"[ \t]*")
 _PY_SKIP = re.compile(r"(?:\s|\\\n|#(?!\s*\[\w+ [^\]]*\])[^\n]*(?:\n|$))*")
 
 
@@ -75,12 +76,30 @@ def _python_doc(code: str) -> tuple[str | None, int]:
     m = _PY_STRING.match(code, at)
     if not m:
         return None, len(code)
-    after = code[m.end() : m.end() + 40].lstrip(" \t")
-    if after[:1] not in ("", "\n", "#", ";", "\r"):  # a part of an expression
+    if code[_BLANKS.match(code, m.end()).end() :][:1] not in ("", "\n", "#", ";", "\r"):  # a part of an expression
         return None, len(code)
     text = m.group(2)
     quote = 3 if text[:3] in ('"""', "'''") else 1
-    return text[quote:-quote], len(code)
+    return text[quote:-quote], _python_end(code, start, body)
+
+
+def _python_end(code: str, start: int, body: int) -> int:
+    """Where a function ends: before the first line, outside brackets and
+    literals, that is indented no deeper than its declaration."""
+    indent = len(code[start:]) - len(code[start:].lstrip(" \t"))
+    depth, at = 0, body
+    for kind, a, b in [*skeleton(code, "python", body), ("end", len(code), len(code))]:
+        line = at
+        while depth == 0 and (n := code.find("\n", line, a)) >= 0:
+            line = n + 1
+            text = code[line : code.find("\n", line) if code.find("\n", line) >= 0 else len(code)]
+            bare = text.lstrip(" \t")
+            if bare.strip() and bare[0] != "#" and len(text) - len(bare) <= indent:
+                return line
+        if kind == "b":
+            depth = max(0, depth + (code[a] in "([{") - (code[a] in ")]}"))
+        at = b
+    return len(code)
 
 
 def _declaration_line(code: str) -> int:

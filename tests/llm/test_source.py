@@ -48,6 +48,13 @@ def test_function_is_cut_at_its_brace():
     assert code.endswith("} }") and said == SAYS + "."
 
 
+def test_python_function_is_cut_where_its_block_ends():
+    body = f'def f(a):\n    """{SAYS}."""\n    y = """\nnot the end\n"""\n    z = [\n1,\n]\n# comment\n    return y\n'
+    code, said = dfn.document("@x\n" + body + "rest = 1\n", "python", "f")
+    assert code == "@x\n" + body and said == SAYS + "."
+    assert dfn.document(f'def f():\n    """{SAYS}."""' + " " * 60 + "+ x\n", "python", "f") is None
+
+
 def test_documented_functions_frame(spark):
     rows = [
         ("a", "f", "method", " Python ", f'def f():\n    """{SAYS}."""', "x"), ("a", "f", "method", " Python ", f'def f():\n    """{SAYS}."""', "y"),
