@@ -175,6 +175,14 @@ def file_layers(symbols: DataFrame, enriched: DataFrame) -> DataFrame:
         "repository_id", "path", F.coalesce("layer", base_name(dir_name(F.col("path"), "root"))).alias("role"))
 
 
+def report(files: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """`files` (one row per repository) with the number of rows of each part."""
+    out = files
+    for name, df in parts.items():
+        out = out.join(df.groupBy("repository_id").agg(F.count("*").alias(name)), "repository_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
 def findings_diff(now: DataFrame, before: DataFrame, key: list[str]) -> DataFrame:
     """Findings by key that are new or resolved between two snapshots."""
     a, b = now.select(*key).distinct(), before.select(*key).distinct()

@@ -9,7 +9,6 @@ from siltstone.operators.search import top_per
 from siltstone.plans.graph_queries import file_dependencies
 from siltstone.plans.registry import query
 from siltstone.plans.views import BASE, CALLS, DIR, FI, INDEG, S, TX, bare, calls, fil, sym, texts
-from siltstone.sources.tables import table
 
 
 @query("language_breakdown", f"WITH {FI} SELECT repository_id, language, count(*) AS n FROM f GROUP BY 1, 2")
@@ -101,6 +100,48 @@ def dependency_report_counts(spark, base):
     return per.join(edges, "repository_id", "left").select("repository_id", "symbols", "files", "called", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
+_SHARED = """hm AS (SELECT repository_id, name FROM s GROUP BY 1, 2 HAVING count(*) <= 3), shared AS (SELECT repository_id, name, max(callers) AS callers FROM s JOIN deg USING (id)
+WHERE type IN ('function', 'method') AND callers > 1 AND length(name) >= 3 AND (repository_id, name) IN (SELECT repository_id, name FROM hm) GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY max(callers) DESC, name) <= 10)"""
+_FEW_CYCLES = """fd AS (SELECT DISTINCT u.repository_id, cs.path AS src, d.path AS dst FROM c u JOIN s cs ON cs.id = u.caller JOIN hm ON hm.repository_id = u.repository_id AND hm.name = u.callee_name
+JOIN s d ON d.repository_id = u.repository_id AND d.name = u.callee_name WHERE cs.path <> d.path),
+two AS (SELECT a.repository_id, [a.src, a.dst] AS cycle FROM fd a JOIN fd b ON a.repository_id = b.repository_id AND a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst
+QUALIFY row_number() OVER (PARTITION BY a.repository_id ORDER BY [a.src, a.dst]) <= 10)"""
+
+
+def mutual_files(spark, base):
+    """Cycles of two files that call each other, the first ten of a repository."""
+    e = file_dependencies(spark, base)
+    back = e.select("repository_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = e.where("src < dst").join(back, ["repository_id", "src", "dst"], "left_semi")
+    return top_per(both, ["repository_id"], [F.col("src"), F.col("dst")], 10).select("repository_id", F.array("src", "dst").alias("cycle"))
+
+
+_REPORT = f"""{_DEAD}, {_DUP}, {_SHARED}, {_FEW_CYCLES},
+mods AS (SELECT repository_id, src, dst FROM fd), n1 AS (SELECT repository_id, count(*) AS files, count(DISTINCT language) AS languages FROM f GROUP BY 1)"""
+
+
+@query("dependency_report", f"""WITH {_REPORT} SELECT n1.repository_id, n1.files, n1.languages, coalesce(a.n, 0) AS symbols, coalesce(b.n, 0) AS call_edges, coalesce(m.n, 0) AS module_edges, coalesce(d.n, 0) AS duplicate_groups,
+coalesce(t.n, 0) AS cycles, coalesce(x.n, 0) AS dead_code, n1.files - coalesce(o.n, 0) AS orphans, coalesce(h.n, 0) AS shared FROM n1
+LEFT JOIN (SELECT repository_id, count(*) AS n FROM s GROUP BY 1) a USING (repository_id) LEFT JOIN (SELECT repository_id, count(*) AS n FROM c GROUP BY 1) b USING (repository_id)
+LEFT JOIN (SELECT repository_id, count(*) AS n FROM mods GROUP BY 1) m USING (repository_id) LEFT JOIN (SELECT repository_id, count(*) AS n FROM dup GROUP BY 1) d USING (repository_id)
+LEFT JOIN (SELECT repository_id, count(*) AS n FROM two GROUP BY 1) t USING (repository_id) LEFT JOIN (SELECT repository_id, count(*) AS n FROM dead GROUP BY 1) x USING (repository_id)
+LEFT JOIN (SELECT repository_id, count(DISTINCT dst) AS n FROM mods GROUP BY 1) o USING (repository_id) LEFT JOIN (SELECT repository_id, count(*) AS n FROM shared GROUP BY 1) h USING (repository_id)""")
+def dependency_report(spark, base):
+    """The report of a repository as one row: files, languages, symbols, edges of
+    calls and between files, duplicates, cycles, dead code, files that nothing
+    depends on and shared names; module edges are those of the calls."""
+    s = sym(spark, base, *_SYM, "signature", "parent_id", "decorators")
+    c = calls(spark, base)
+    callers = G.call_in_degree(c, s)
+    mods = file_dependencies(spark, base)
+    files = fil(spark, base, "repository_id", "language").groupBy("repository_id").agg(F.count("*").alias("files"), F.countDistinct("language").alias("languages"))
+    return A.report(files, {
+        "symbols": s, "call_edges": c, "module_edges": mods, "duplicate_groups": A.duplicate_groups(s, ["repository_id"]), "cycles": mutual_files(spark, base),
+        "dead_code": A.dead_code(s, callers, _identifiers(spark, base)), "used": mods.select("repository_id", "dst").distinct(), "shared": A.shared_utilities(s, callers),
+    }).withColumn("orphans", F.col("files") - F.col("used")).drop("used")
+
+
 _CLASSES = """m AS (SELECT parent_id AS id, count(*) AS methods, bool_or(lower(name) IN ('get_instance', 'getinstance', 'instance', 'shared')) AS singleton, list_sort(list(DISTINCT name)) AS method_names FROM s WHERE type = 'method' AND parent_id IS NOT NULL GROUP BY 1),
 k AS (SELECT s.id, s.repository_id, s.name, s.path, s.start_line, s.signature, s.end_line - s.start_line + 1 AS loc, coalesce(methods, 0) AS methods, coalesce(singleton, false) AS singleton, coalesce(method_names, []) AS method_names
 FROM s LEFT JOIN m ON m.id = s.id WHERE s.type IN ('class', 'struct', 'interface'))"""
@@ -145,23 +186,6 @@ def long_functions(spark, base):
     return sym(spark, base, "start_line", "end_line", where=A.is_callable()).select("id", A.loc().alias("loc")).where(f"loc >= {A.LONG_LOC}")
 
 
-_SHARED = """hm AS (SELECT repository_id, name FROM s GROUP BY 1, 2 HAVING count(*) <= 3), shared AS (SELECT repository_id, name, max(callers) AS callers FROM s JOIN deg USING (id)
-WHERE type IN ('function', 'method') AND callers > 1 AND length(name) >= 3 AND (repository_id, name) IN (SELECT repository_id, name FROM hm) GROUP BY 1, 2
-QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY max(callers) DESC, name) <= 10)"""
-_FEW_CYCLES = """fd AS (SELECT DISTINCT u.repository_id, cs.path AS src, d.path AS dst FROM c u JOIN s cs ON cs.id = u.caller JOIN hm ON hm.repository_id = u.repository_id AND hm.name = u.callee_name
-JOIN s d ON d.repository_id = u.repository_id AND d.name = u.callee_name WHERE cs.path <> d.path),
-two AS (SELECT a.repository_id, [a.src, a.dst] AS cycle FROM fd a JOIN fd b ON a.repository_id = b.repository_id AND a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst
-QUALIFY row_number() OVER (PARTITION BY a.repository_id ORDER BY [a.src, a.dst]) <= 10)"""
-
-
-def mutual_files(spark, base):
-    """Cycles of two files that call each other, the first ten of a repository."""
-    e = file_dependencies(spark, base)
-    back = e.select("repository_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = e.where("src < dst").join(back, ["repository_id", "src", "dst"], "left_semi")
-    return top_per(both, ["repository_id"], [F.col("src"), F.col("dst")], 10).select("repository_id", F.array("src", "dst").alias("cycle"))
-
-
 _SURE = "CASE " + " ".join(
     f"WHEN regexp_matches(name, '{e}')" + (f" AND len(list_filter(method_names, lambda x: regexp_matches(x, '{r}'))) > 0" if r else "") + f" THEN {c}" for e, w, c, r in A.PATTERNS) + " END"
 _FINDINGS = f"""{_DEAD}, {_CLASSES}, {_DUP}, {_SHARED}, {_FEW_CYCLES}, findings AS (
@@ -200,11 +224,18 @@ def findings_ordered(spark, base):
     return _findings(spark, base).orderBy(F.desc("confidence"), "category", "title", "target", "repository_id").limit(40).select("category", "title", "target", "confidence")
 
 
-@query("findings_diff", f"""WITH {S}, now AS (SELECT DISTINCT repository_id, hash FROM s WHERE type = 'method' AND hash IS NOT NULL), old AS (SELECT DISTINCT repository_id, hash FROM s WHERE type = 'function' AND hash IS NOT NULL)
+_LONGEST = "SELECT DISTINCT repository_id, 'long_function' AS category, 'Long function' AS title, name AS target FROM s WHERE type IN ('function', 'method') AND end_line - start_line + 1 >= 20"
+
+
+@query("findings_diff", f"""WITH {S}, now AS ({_LONGEST} AND type = 'method'), old AS ({_LONGEST} AND end_line - start_line + 1 < 40)
 SELECT *, 'new' AS change FROM (SELECT * FROM now EXCEPT SELECT * FROM old) UNION ALL SELECT *, 'resolved' FROM (SELECT * FROM old EXCEPT SELECT * FROM now)""")
 def findings_diff(spark, base):
-    s = sym(spark, base, "repository_id", "type", "hash").where("hash is not null")
-    return A.findings_diff(s.where("type = 'method'"), s.where("type = 'function'"), ["repository_id", "hash"])
+    """Findings by category, target and title that differ between two readings of
+    the symbols: long methods now, and callables that were long up to 40 lines."""
+    s = sym(spark, base, "repository_id", "name", "type", "start_line", "end_line")
+    row = lambda c: s.where(A.is_callable() & (A.loc() >= 20) & c).select(
+        "repository_id", F.lit("long_function").alias("category"), F.lit("Long function").alias("title"), F.col("name").alias("target"))
+    return A.findings_diff(row(F.col("type") == "method"), row(A.loc() < 40), ["repository_id", "category", "title", "target"])
 
 
 @query("module_summary", f"""WITH {S}, h AS (SELECT repository_id, path, type, count(*) AS n FROM s GROUP BY ALL),
@@ -307,15 +338,3 @@ def qa_context_budget(spark, base):
 @query("enrichment_candidates", f"WITH {S} SELECT id FROM s WHERE type IN ('class', 'function', 'method', 'interface', 'struct', 'trait', 'enum')")
 def enrichment_candidates(spark, base):
     return sym(spark, base, "type", where=F.col("type").isin("class", "function", "method", "interface", "struct", "trait", "enum")).select("id")
-
-
-@query("domain_layer_counts", "SELECT lower(trim(source)) AS source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
-def domain_layer_counts(spark, base):
-    d = table(spark, base, "documents").where("source is not null")
-    return d.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count("*").alias("n")).where("n >= 2")
-
-
-@query("join_enriched_symbols", f"WITH {S} SELECT s.id, n AS documents FROM s JOIN (SELECT repository_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) d USING (repository_id)")
-def join_enriched_symbols(spark, base):
-    d = table(spark, base, "documents").where("text is not null").groupBy("repository_id").agg(F.count("*").alias("documents"))
-    return sym(spark, base, "repository_id").join(d, "repository_id").select("id", "documents")

@@ -2,6 +2,7 @@
 
 from siltstone.plans import (  # noqa: F401
     analytics_queries,
+    enrich_queries,
     graph_queries,
     hierarchy_queries,
     ingest_queries,

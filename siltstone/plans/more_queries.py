@@ -3,7 +3,6 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.operators import analytics as A
 from siltstone.operators import enrich as E
 from siltstone.operators.extract import extract_symbols
 from siltstone.operators.graph import contains_edges
@@ -109,16 +108,6 @@ def qa_context(spark, base):
     return first.groupBy("repository_id", "path").agg(F.array_join(lines, "\n").alias("context"))
 
 
-@query("findings_by_origin", f"""WITH {S}, m AS (SELECT parent_id AS id, count(*) AS methods FROM s WHERE type = 'method' AND parent_id IS NOT NULL GROUP BY 1)
-SELECT CASE WHEN type IN ('class', 'struct', 'interface') THEN 'class' ELSE 'function' END AS origin, count(*) AS n FROM s LEFT JOIN m USING (id)
-WHERE (type IN ('class', 'struct', 'interface') AND coalesce(methods, 0) >= 5) OR (type IN ('function', 'method') AND end_line - start_line + 1 >= 25) GROUP BY 1""")
-def findings_by_origin(spark, base):
-    s = sym(spark, base, "repository_id", "name", "type", "path", "start_line", "end_line", "signature", "parent_id")
-    big = A.class_methods(s).where("methods >= 5").select(F.lit("class").alias("origin"))
-    long = s.where(A.is_callable() & (A.loc() >= 25)).select(F.lit("function").alias("origin"))
-    return big.unionByName(long).groupBy("origin").agg(F.count("*").alias("n"))
-
-
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def event_windows(spark, base):
     return windowed_counts(table(spark, base, "events").where("ts is not null"))
