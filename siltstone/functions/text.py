@@ -56,6 +56,12 @@ def blake2b(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
 
 
+@F.pandas_udf(StringType())
+def blake2b_bytes(data: pd.Series) -> pd.Series:
+    """BLAKE2b-128 of bytes, in hex; null for null."""
+    return data.map(lambda b: None if b is None else hashlib.blake2b(b, digest_size=16).hexdigest())
+
+
 def strip_quotes(value: Column) -> Column:
     """Without surrounding blanks, then without surrounding quote characters."""
     return F.regexp_replace(F.trim(value), "^[\"'`]+|[\"'`]+$", "")

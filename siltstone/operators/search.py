@@ -14,13 +14,16 @@ from pyspark.sql.types import DoubleType
 from siltstone.session import Stage
 
 LINE_LIMIT = 100
+LINE_END = "\r\n|[\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
 NAME_LIMIT = 20
 LEAST_FUZZY = 0.45
 
 
 def explode_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, line_no, line`` for every line; a final line end starts no line."""
-    body = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"\n\z", "")
+    """``key, line_no, line`` for every line; a final line end starts no line.
+    Carriage returns, vertical tabs, form feeds and the separators of Unicode end
+    a line as well."""
+    body = F.regexp_replace(F.regexp_replace(text, LINE_END, "\n"), r"\n\z", "")
     return df.where(F.col(text) != "").select(key, F.posexplode(F.split(body, "\n")).alias("at", "line")).select(
         key, (F.col("at") + 1).alias("line_no"), "line"
     )
@@ -38,6 +41,11 @@ def keyword_hits(lines: DataFrame, text: str, regex: bool = False, case_sensitiv
     return lines.where(F.contains(F.lower(line), F.lit(text.lower())))
 
 
+def first_hits(hits: DataFrame, key: str, limit: int = LINE_LIMIT) -> DataFrame:
+    """The first hits of all, by key and line: what a page of results shows."""
+    return hits.orderBy(key, "line_no").limit(limit)
+
+
 def with_context(lines: DataFrame, hits: DataFrame, key: str, context: int = 1) -> DataFrame:
     """Hits with the lines around them. Only the neighbours of hits travel: each
     hit asks for its line numbers, and those are joined to the lines."""

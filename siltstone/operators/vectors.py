@@ -114,6 +114,16 @@ def hash_embedding(df: DataFrame, key: str, text: str, dimension: int = DIMENSIO
     return t.where("v <> 0").join(length, key).select(key, "bucket", (F.col("v") / F.col("len")).alias("value"))
 
 
+def embedding_delta(units: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
+    """Units (id, content_hash, model) that need a vector, with the `reason`: new
+    where none is stored, changed where its text or model is another, and with
+    `force` every other one too."""
+    have = stored.select("id", F.col("content_hash").alias("_hash"), F.col("model").alias("_model"), F.lit(True).alias("_have"))
+    same = F.equal_null("content_hash", "_hash") & F.equal_null("model", "_model")
+    reason = F.when(F.col("_have").isNull(), "new").when(~same, "changed").when(F.lit(force), "forced")
+    return units.join(have, "id", "left").withColumn("reason", reason).where("reason is not null").drop("_hash", "_model", "_have")
+
+
 def vector_upsert(stored: DataFrame, units: DataFrame) -> DataFrame:
     """Stored vectors with the units' rows in place of those with the same id."""
     both = stored.withColumn("_v", F.lit(0)).unionByName(units.withColumn("_v", F.lit(1)))

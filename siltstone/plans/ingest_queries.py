@@ -257,7 +257,7 @@ def file_snippet(spark, base):
     return texts(spark, base).select("file_id", F.array_join(F.slice(lines, 3, 5), "\n").alias("snippet"))
 
 
-LINES = TX + """, u AS (SELECT file_id, regexp_replace(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n$', '') AS t FROM x WHERE content <> ''),
+LINES = TX + """, u AS (SELECT file_id, regexp_replace(regexp_replace(content, '\\r\\n|[\\r\\x0b\\f\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g'), '\\n$', '') AS t FROM x WHERE content <> ''),
 l AS (SELECT file_id, generate_subscripts(string_split(t, chr(10)), 1) AS line_no, unnest(string_split(t, chr(10))) AS line FROM u)"""
 
 

@@ -47,6 +47,14 @@ def keyword_context(spark, base):
     return got.select("file_id", F.col("line_no").cast("long").alias("line_no"), "line", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
 
 
+@query("keyword_page", f"WITH {LINES}, h AS (SELECT file_id, line_no, line FROM l WHERE contains(lower(line), 'return') ORDER BY file_id, line_no LIMIT 100), w AS (SELECT l.file_id, l.line_no, b.line AS b, a.line AS a FROM h JOIN l USING (file_id, line_no) LEFT JOIN l b ON b.file_id = l.file_id AND b.line_no = l.line_no - 1 LEFT JOIN l a ON a.file_id = l.file_id AND a.line_no = l.line_no + 1) SELECT file_id, line_no, coalesce(b, '') AS before, coalesce(a, '') AS after FROM w")
+def keyword_page(spark, base):
+    """The first hundred hits, and only their lines around."""
+    lines = _lines(spark, base)
+    got = Q.with_context(lines, Q.first_hits(Q.keyword_hits(lines, "return"), "file_id"), "file_id", 1)
+    return got.select("file_id", F.col("line_no").cast("long").alias("line_no"), F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
+
+
 @query("enclosing_symbol", f"""WITH {LINES}, h AS (SELECT f.repository_id || '/' || f.path AS path, line_no FROM l JOIN f ON f.id = l.file_id WHERE contains(lower(line), 'password')), {S},
 j AS (SELECT h.path, h.line_no, s.id, row_number() OVER (PARTITION BY h.path, h.line_no ORDER BY end_line - start_line, start_line, s.id) AS rn
 FROM h JOIN s ON h.path = s.repository_id || '/' || s.path AND h.line_no BETWEEN s.start_line AND s.end_line)
@@ -183,10 +191,15 @@ def hash_embedding(spark, base):
     return V.hash_embedding(sym(spark, base, "signature"), "id", "signature").withColumn("value", F.round("value", 6))
 
 
-@query("embedding_delta", "SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@query("embedding_delta", """WITH d AS (SELECT doc_id AS id, md5(coalesce(text, '')) AS h FROM documents WHERE doc_id IS NOT NULL), e AS (SELECT vec_id AS id, CASE WHEN label = 1 THEN d.h ELSE 'old' END AS h, CASE WHEN label = 2 THEN 'other' ELSE 'hash-256' END AS m FROM embeddings JOIN d ON d.id = vec_id)
+SELECT d.id, CASE WHEN e.id IS NULL THEN 'new' ELSE 'changed' END AS reason FROM d LEFT JOIN e ON e.id = d.id WHERE e.id IS NULL OR e.h <> d.h OR e.m <> 'hash-256'""")
 def embedding_delta(spark, base):
-    have = table(spark, base, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    return table(spark, base, "documents").where("doc_id is not null").select("doc_id").join(have, "doc_id", "left_anti")
+    """Documents to embed: those without a vector, of another text or of another
+    model; the vectors' hashes and models are made of their labels."""
+    units = table(spark, base, "documents").where("doc_id is not null").select(F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("content_hash"))
+    stored = table(spark, base, "embeddings").select(F.col("vec_id").alias("id"), "label").join(units, "id").select(
+        "id", F.when(F.col("label") == 1, F.col("content_hash")).otherwise("old").alias("content_hash"), F.when(F.col("label") == 2, "other").otherwise("hash-256").alias("model"))
+    return V.embedding_delta(units.withColumn("model", F.lit("hash-256")), stored).select("id", "reason")
 
 
 def _code_hits(spark, base):

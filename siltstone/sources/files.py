@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import detect_language
+from siltstone.functions.text import blake2b_bytes, detect_language
 from siltstone.operators.ingest import MAX_BYTES, in_ignored_dir, is_built_name
 
 PROBE = 1 << 16
@@ -41,18 +41,38 @@ def ignored_by(path: Column, rules: list[tuple[str, bool]]) -> Column:
     return out
 
 
+IGNORE_FILES = (".gitignore", ".git/info/exclude")
+
+
+def root_ignores(spark: SparkSession, root: str) -> str:
+    """The ignore files of a tree's root, in the order they apply; those of
+    folders below are not read."""
+    jvm, out = spark.sparkContext._jvm, []
+    for name in IGNORE_FILES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):  # one small file, and a hidden one, which readers of tables pass over
+            stream = fs.open(path)
+            try:
+                out.append(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+    return "\n".join(out)
+
+
 def scan_tree(spark: SparkSession, root: str, gitignore: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Every file under `root` with ``path, language, size_bytes, mtime, hash,
     content, skip_reason``. The reason is ignored, unsupported, large or binary
     for files that are left out, and null for those that are kept; a hash and
-    content exist only for kept files. Size and time come from the listing, so
+    content exist only for kept files. The rules are `gitignore` or, where that is
+    null, the ignore files of the root; an empty text ignores nothing. Size and time come from the listing, so
     a filter on them reads no content."""
     base = root.rstrip("/") + "/"
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     bare = base.removeprefix("file://").removeprefix("file:")
     f = f.withColumn("path", F.substring("path", F.instr("path", bare) + len(bare), F.length("path")))
     binary = F.instr(F.decode(F.substring("content", 1, PROBE), "ISO-8859-1"), "\0") > 0
-    rules = ignore_rules(gitignore) if gitignore else []
+    rules = ignore_rules(root_ignores(spark, root) if gitignore is None else gitignore)
     reason = (
         F.when(in_ignored_dir(F.col("path")) | ignored_by(F.col("path"), rules) | is_built_name(F.col("path")), "ignored")
         .when(detect_language(F.col("path")).isNull(), "unsupported").when(F.col("length") > max_bytes, "large").when(binary, "binary")
@@ -61,7 +81,7 @@ def scan_tree(spark: SparkSession, root: str, gitignore: str | None = None, max_
     return f.withColumn("skip_reason", reason).select(
         "path", detect_language(F.col("path")).alias("language"), F.col("length").alias("size_bytes"),
         (F.unix_micros("modificationTime") / 1e6).alias("mtime"),
-        F.when(kept, F.md5("content")).alias("hash"), F.when(kept, F.make_valid_utf8(F.col("content").cast("string"))).alias("content"), "skip_reason",
+        F.when(kept, blake2b_bytes("content")).alias("hash"), F.when(kept, F.make_valid_utf8(F.col("content").cast("string"))).alias("content"), "skip_reason",
     )
 
 

@@ -27,6 +27,15 @@ class Store:
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").partitionBy("repository_id").parquet(self.path(name))
 
+    def get_or_create(self, name: str, df: DataFrame, key: list[str]) -> DataFrame:
+        """Appends the rows whose key the table does not hold yet, and returns the
+        stored row of every key of `df`."""
+        keys = df.dropDuplicates(key)
+        stage = Stage(self.spark, "create")
+        self.append(name, stage.write(keys.join(self.read(name).select(*key).distinct(), key, "left_anti"), "new"))
+        stage.drop()
+        return self.read(name).join(keys.select(*key), key, "left_semi")
+
     def replace(self, name: str, df: DataFrame) -> None:
         """The repositories in `df` are replaced by its rows, others stay."""
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(self.path(name))

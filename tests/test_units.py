@@ -43,6 +43,16 @@ def test_scan_tree(spark, tmp_path):
     assert {r.reason: r.n for r in skip_counters(scan).collect()} == {"kept": 5, "ignored": 4, "unsupported": 2, "large": 1, "binary": 1}
 
 
+def test_ignore_files_of_the_root(spark, tmp_path):
+    for p, b in {".gitignore": b"*.log\nsecret.py\n", ".git/info/exclude": b"!keep/secret.py\nlocal.py\n", "a/.gitignore": b"b.py\n", "a/b.py": b"x", "secret.py": b"x",
+                 "keep/secret.py": b"x", "local.py": b"\xff"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b)
+    names = lambda **k: {r.path for r in scan_tree(spark, f"file://{tmp_path}", **k).where("skip_reason is null").collect()}
+    assert names() == {"a/b.py", "keep/secret.py"}
+    assert names(gitignore="") == {"a/b.py", "keep/secret.py", "secret.py", "local.py"}
+
+
 def test_ignore_rules(spark):
     rules = ignore_rules("*.log\nbuild/\n/top.txt\ndocs/**/x.md\n!keep.log")
     got = [one(spark, ignored_by(F.lit(p), rules)) for p in ("a/b.log", "keep.log", "build/x", "a/build/y", "top.txt", "a/top.txt", "docs/q/x.md", "z.py")]
@@ -66,7 +76,10 @@ def test_store(spark, tmp_path):
     s.append("t", rows(("r1", "a", 1, 5), ("r2", "b", 1, 5)))
     s.upsert("t", rows(("r1", "a", 2, 9), ("r1", "c", 1, 9)), ["repository_id", "id"], keep_first="created_at")
     assert {(r.repository_id, r.id, r.v, r.created_at) for r in s.read("t").collect()} == {("r1", "a", 2, 5), ("r1", "c", 1, 9), ("r2", "b", 1, 5)}
-    s.replace("t", rows(("r1", "z", 0, 0)))
+    made = s.get_or_create("t", rows(("r1", "a", 7, 7), ("r2", "n", 7, 7), ("r2", "n", 7, 7)), ["repository_id", "id"])
+    assert {(r.id, r.v) for r in made.collect()} == {("a", 2), ("n", 7)} and s.read("t").count() == 4
+    s.replace("t", rows(("r1", "z", 0, 0), ))
+    s.replace("t", rows(("r2", "b", 1, 5)))
     assert {(r.repository_id, r.id) for r in s.read("t").collect()} == {("r1", "z"), ("r2", "b")}
     s.append("t", rows(("r3", "q", 0, 0)).withColumn("extra", F.lit("new")))
     assert "extra" in s.read("t").columns
@@ -140,6 +153,9 @@ def test_keyword_search(spark):
     df = spark.createDataFrame([("a", "x\r\ny Foo\nz\n"), ("b", ""), ("c", None), ("d", "foo")], "path string, text string")
     lines = Q.explode_lines(df, "path", "text")
     assert sorted((r.path, r.line_no, r.line) for r in lines.collect()) == [("a", 1, "x"), ("a", 2, "y Foo"), ("a", 3, "z"), ("d", 1, "foo")]
+    odd = Q.explode_lines(spark.createDataFrame([("a", "1\x0b2\f3\u20284\x855\r6\r\n7\n\n8\n")], "path string, text string"), "path", "text")
+    assert [(r.line_no, r.line) for r in odd.orderBy("line_no").collect()] == list(enumerate(["1", "2", "3", "4", "5", "6", "7", "", "8"], 1))
+    assert [r.path for r in Q.first_hits(Q.keyword_hits(lines, "foo"), "path", 1).collect()] == ["a"]
     hits = Q.keyword_hits(lines, "foo")
     got = {r.path: (r.line_no, r.before, r.after) for r in Q.with_context(lines, hits, "path").collect()}
     assert got == {"a": (2, ["x"], ["z"]), "d": (1, [], [])}
@@ -289,6 +305,9 @@ def test_vectors(spark):
     assert [(r.query_id, r.vec_id, round(r.score, 6)) for r in near] == [(1, 2, 0.6)]
     h = V.hash_embedding(spark.createDataFrame([("a", "Foo foo bar"), ("b", "")], "k string, t string"), "k", "t")
     assert abs(sum(r.value**2 for r in h.collect()) - 1) < 1e-9
+    units = spark.createDataFrame([(1, "h", "m"), (2, "h", "m"), (3, "h", "m"), (4, None, "m")], "id long, content_hash string, model string")
+    stored = spark.createDataFrame([(1, "h", "m"), (2, "x", "m"), (4, None, "m")], "id long, content_hash string, model string")
+    assert {r.id: r.reason for r in V.embedding_delta(units, stored).collect()} == {2: "changed", 3: "new"} and V.embedding_delta(units, stored, True).count() == 4
     up = V.vector_upsert(v.select("vec_id", F.lit("old").alias("p")), spark.createDataFrame([(1, "new"), (9, "new")], "vec_id long, p string"))
     assert {(r.vec_id, r.p) for r in up.collect()} == {(1, "new"), (2, "old"), (3, "old"), (4, "old"), (5, "old"), (9, "new")}
 
