@@ -57,12 +57,13 @@ CASE WHEN n % 11 = 0 THEN 0.0 ELSE least(1.0, n % 30 / 20.0) END AS complexity,
 CASE WHEN n % 11 = 0 THEN 0.0 ELSE least(1.0, n % 15 / 10.0) END AS confidence FROM q)"""
 
 
-@query("enrichment_records", f"WITH {S}, {_EN} SELECT id, summary, domain AS business_domain, layer AS architecture_layer, responsibilities, CASE WHEN said THEN 'stale' ELSE '' END AS risks, CAST(complexity AS DOUBLE) AS complexity, CAST(risk AS DOUBLE) AS risk, CAST(confidence AS DOUBLE) AS confidence FROM en")
+@query("enrichment_records", f"WITH {S}, {_EN} SELECT id, summary, domain AS business_domain, layer AS architecture_layer, responsibilities, CASE WHEN said THEN 'stale' ELSE '' END AS risks, round(CAST(complexity AS DOUBLE), 6) AS complexity, round(CAST(risk AS DOUBLE), 6) AS risk, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM en")
 def enrichment_records(spark, base):
     e = _enriched(spark, base)
     return e.select(
         "id", "summary", F.array_join("business_domain", ",").alias("business_domain"), "architecture_layer", F.array_join("responsibilities", ",").alias("responsibilities"),
-        F.array_join("risks", ",").alias("risks"), "quality_metrics.complexity", "quality_metrics.risk", "confidence")
+        F.array_join("risks", ",").alias("risks"), F.round("quality_metrics.complexity", 6).alias("complexity"),
+        F.round("quality_metrics.risk", 6).alias("risk"), F.round("confidence", 6).alias("confidence"))
 
 
 _MODEL = """dom AS (SELECT repository_id, domain AS target, count(*) AS n FROM en WHERE domain <> 'Unknown' GROUP BY 1, 2 HAVING count(*) >= 2),
