@@ -48,7 +48,7 @@ _HOOK = re.compile(r"https?://[^\s\"'`<>]*?/(?:hooks?|services|webhooks?)/(?P<v>
 _PEM = re.compile(
     r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>.*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S
 )
-_URL_USER = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:(?P<v>[^\s@/\"'`]+)@[A-Za-z0-9\[{$]")
+_URL_USER = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:(?P<v>[^\s@/\"'`]+)@[A-Za-z0-9\[{$]")
 _URL_QUERY = re.compile(
     r"[?&](?:[a-z_]*token|api_?key|key|sig(?:nature)?|[a-z_]*secret|password|passwd|pwd|auth)=(?P<v>[^&\s\"'`<>]+)", re.I
 )
@@ -69,12 +69,12 @@ _LISTED = re.compile(r"\s*(?:[+,]\s*)?\Z")
 _BLANK = re.compile(r"\s")
 _VALUE = re.compile(r"[^\s\"'`<>]{5,}")
 #: letters next to digits, capitals within a word, or other characters than a word's
-_MIXED = re.compile(r"[A-Za-z][^A-Za-z\s]*\d|\d[^A-Za-z\s]*[A-Za-z]|[a-z][A-Z]|[A-Za-z][=+/!#@%^&*:]")
+_MIXED = re.compile(r"[A-Za-z][^A-Za-z\d\s]*\d|\d[^A-Za-z\d\s]*[A-Za-z]|[a-z][A-Z]|[A-Za-z][=+/!#@%^&*:]")
 _PHRASE = re.compile(
     r"\b(?:log-?in|credentials?|password|passwd|passphrase|passcode|secret|token|(?:api|access|signing|private) key)s?\b[^\n]{0,80}?"
     r"(?:\b(?:is|was|are|were|with|to)|[:=/])\s+[\"'`]?(?P<v>[^\s\"'`]{8,})", re.I
 )
-_BARE = re.compile(_NAME + r"""\s*(?:=|:)\s*(?P<val>[^\s"'`,;<>(){}\[\]$]{5,})""")
+_BARE = re.compile(r"""(?<![\w.-])(?P<name>[\w.-]+)\s*(?:=|:)\s*(?P<val>[^\s"'`,;<>(){}\[\]$]{5,})""")
 _SECRET_NAME = re.compile(
     r"\b(?:password|passwords|passwd|pwd|passphrase|passcode|pass|secret|secrets|token|apikey|api key|access key|secret key|private key|"
     r"encryption key|signing key|auth key|master key|license key|account key|storage key|shared key|service key|app key|credential|credentials|creds|auth|"

@@ -31,6 +31,7 @@ WRAPPED_EXPANSION = 2.0  # where lines are wrapped and none of them is canonical
 KEPT_SHARE = 0.1  # of the original lines are canonical in a minified file, at most
 LINE_CHARS = 160  # characters per line of a minified file, at least
 WRAPPED_CHARS = 60
+DEEPEST = 40  # levels of indentation that are written out
 LITERAL_SHARE = 0.7  # of the characters that are not white space
 DATA_CHARS = 1200  # a smaller literal table may be written by hand
 UNIFORM_SHARE = 0.7  # of the lines have one shape
@@ -70,8 +71,9 @@ _GOES_ON = re.compile(r"[=+\-*/%&|^<>?:.(\[\\]$")
 
 def canonical(bare: str, language: str) -> list[str]:
     """The canonical lines of a text whose comments are gone and whose literals
-    are folded: one per statement and brace, indented by depth. A short group in
-    braces that is a value of names and literals stays on its line."""
+    are folded: one per statement and brace, indented by depth (no further than
+    `DEEPEST`). A short group in braces that is a value of names and literals
+    stays on its line."""
     bare = _SHORT.sub("\x01\\1\x02", bare)
     out: list[str] = []
     python = language in ("python", "yaml")
@@ -88,21 +90,21 @@ def canonical(bare: str, language: str) -> list[str]:
             if piece == "\n":
                 if not text or (not python and _GOES_ON.search(text)):
                     continue
-                out.append("    " * depth + text)
+                out.append("    " * min(depth, DEEPEST) + text)
             elif piece == ";":
                 if not text and out and out[-1][-1:] == "}":
                     out[-1] += ";"
                     line = ""
                     continue
-                out.append("    " * depth + text + ";")
+                out.append("    " * min(depth, DEEPEST) + text + ";")
             elif piece == "{":
-                out.append("    " * depth + (text + " {" if text else "{"))
+                out.append("    " * min(depth, DEEPEST) + (text + " {" if text else "{"))
                 depth += 1
             else:
                 if text:
-                    out.append("    " * depth + text)
+                    out.append("    " * min(depth, DEEPEST) + text)
                 depth = max(depth - 1, 0)
-                out.append("    " * depth + "}")
+                out.append("    " * min(depth, DEEPEST) + "}")
             line = ""
         elif piece:
             line += piece if not line or line[-1] in "{}" else " " + piece
@@ -112,7 +114,7 @@ def canonical(bare: str, language: str) -> list[str]:
             held = max(held, 0)
     text = " ".join(line.split())
     if text:
-        out.append("    " * depth + text)
+        out.append("    " * min(depth, DEEPEST) + text)
     return "\n".join(out).translate(_BRACES).split("\n") if out else out
 
 

@@ -475,11 +475,11 @@ def fold(codes: list[str], language: str, first: bool) -> tuple[list[str], bool]
             cur = []
         else:
             cur.append(code)
-    for bracket, parent in reversed(frames):
-        parent.append(bracket)
-        parent.extend(cur)
-        cur = parent
-    return cur, False
+    left: list[str] = []
+    for bracket, parent in frames:
+        left += parent
+        left.append(bracket)
+    return left + cur if frames else cur, False
 
 
 _OPEN = {"(", "[", "{", "${"}

@@ -348,3 +348,19 @@ def test_origins_frame(spark):
     got = {r.file_id: r.origin for r in so.source_origins(f, c, lib).collect()}
     assert got == {"a": "vendored", "b": "vendored", "c": None}
     assert so.source_origins(f.limit(0), c, lib).count() == 0
+
+
+@pytest.mark.parametrize("language, text", [
+    ("python", "x = \"" + "aZ9/" * 60_000 + "\"\n"), ("python", "x = [" + "1234," * 60_000 + "]\n# " + "1234," * 60_000), ("javascript", "`" + "${" * 30_000),
+    ("python", "(" * 60_000 + ")" * 60_000), ("java", "{" * 60_000), ("javascript", "'" * 100_000), ("cobol", "a-" * 100_000), ("go", "a=" * 100_000),
+])
+def test_long_texts_take_time_in_proportion(language, text):
+    import time
+
+    began = time.time()
+    cr.find_secrets(text, language, WORDS)
+    so.origin("a/b", language, text)
+    dfn.document(text, language, "f")
+    if language in sx._STATES:
+        sx.invalid(text, language)
+    assert time.time() - began < 20
