@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 from siltstone.session import Stage
 
 LINE_LIMIT = 100
-LINE_END = "\r\n|[\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_END = "[\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
 NAME_LIMIT = 20
 LEAST_FUZZY = 0.45
 
@@ -23,7 +23,8 @@ def explode_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, line_no, line`` for every line; a final line end starts no line.
     Carriage returns, vertical tabs, form feeds and the separators of Unicode end
     a line as well."""
-    body = F.regexp_replace(F.regexp_replace(text, LINE_END, "\n"), r"\n\z", "")
+    raw = F.col(text)
+    body = F.regexp_replace(F.regexp_replace(F.replace(raw, F.lit("\r\n"), F.lit("\n")), LINE_END, "\n"), r"\n\z", "")
     return df.where(F.col(text) != "").select(key, F.posexplode(F.split(body, "\n")).alias("at", "line")).select(
         key, (F.col("at") + 1).alias("line_no"), "line"
     )
